@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, simhash, token_files
+from . import fingerprints, quality, secret_scan, simhash, token_files, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(read_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_toxicity": op2_toxicity,
+    "op4_fingerprints": op4_fingerprints,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
