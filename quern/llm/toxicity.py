@@ -5,9 +5,11 @@ to five symbols before it in the word (``^`` opens a word, its end is a symbol t
 symbols). Both interpolate the class's own discounted counts with one shared backoff: continuation counts over both classes,
 down to single symbols. So an expression that neither class has seen says nothing, and a rare one speaks through its parts.
 
-A text is compared by length-normalised log-likelihoods, toxic minus ordinary: over the whole text, and over its most
-suspicious run of ``RUN`` words, which finds a few expressions in a long text. A logistic curve over the two, fitted on a
-bounded sample of training texts that were kept out of the counts, turns them into a score.
+A text is compared by length-normalised log-likelihoods, toxic minus ordinary: over the whole text; over its most suspicious
+runs of 16 and of 4 words, which find a few expressions in a long text; and, for what lies scattered, over the words that
+favour the toxic model by more than 1, 2 or 3 nats (the square root of that excess by symbol), which leaves out the drift
+of ordinary words that the smaller class knows less well. A logistic curve over these six figures, fitted on a bounded
+sample of training texts that were kept out of the counts, turns them into a score.
 
 Counts cover all training texts: words are counted per task, summed over the cluster, and cut into n-grams there; n-grams
 are distinct before continuation counts are taken. Only the model itself reaches the driver and the workers: tables of
@@ -28,7 +30,9 @@ from .common import id_and_bytes, saved
 ORDER = 6
 DISCOUNT = 0.75
 BITS = 20
-RUN = 16
+RUNS = (16, 4)
+EXCESS = (1, 2, 3)
+FIGURES = ("mean", *(f"peak_{n}" for n in RUNS), *(f"excess_{n}" for n in EXCESS))
 #: At most so many labelled texts, drawn by a hash of their ids, fit the logistic curve.
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows, and shuffled beyond.
@@ -172,18 +176,22 @@ def ratios(tables: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return np.bincount(word, np.where(use, log[0] - log[1], 0), len(words))
 
 
-def figures(words: list[bytes], ratio: np.ndarray) -> tuple[float, float]:
-    """Log-likelihood difference by symbol: of the whole text, and of the run of RUN words where it is largest."""
+def figures(words: list[bytes], ratio: np.ndarray) -> list[float]:
+    """FIGURES of a text: log-likelihood differences by symbol, of all of it, of its worst runs, and of its worst words."""
     if not words:
-        return 0.0, 0.0
+        return [0.0] * len(FIGURES)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     total, length = np.concatenate(([0], np.cumsum(ratio))), np.concatenate(([0], np.cumsum(size)))
-    run = min(RUN, len(words))
-    return float(total[-1] / length[-1]), float(((total[run:] - total[:-run]) / (length[run:] - length[:-run])).max())
+    out = [total[-1] / length[-1]]
+    for n in RUNS:
+        n = min(n, len(words))
+        out.append(((total[n:] - total[:-n]) / (length[n:] - length[:-n])).max())
+    out += [np.sqrt(np.maximum(ratio - nats, 0).sum() / length[-1]) for nats in EXCESS]
+    return [float(x) for x in out]
 
 
 def measured(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` (with text binary) with mean and peak in place of the text."""
+    """``docs`` (with text binary) with FIGURES in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(tables)
     kept = [c for c in docs.columns if c != "text"]
 
@@ -198,10 +206,10 @@ def measured(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
                 if new:
                     known.update(zip(new, ratios(sent.value, new).tolist(), strict=True))
                 found = [figures(w, np.fromiter(map(known.__getitem__, w), float, len(w))) for w in split]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], [*kept, "mean", "peak"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], [*kept, *FIGURES])
 
     types = dict(docs.dtypes)
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "mean double, peak double"]))
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"{c} double" for c in FIGURES)]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -219,11 +227,11 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.nd
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, mean, peak), one row for each row of ``docs``.
+    """(doc_id, held_out, score, predicted, FIGURES...), one row for each row of ``docs``.
 
     Labels (``doc_id``, ``toxic``) of rows whose fold is 0 are held out: neither counts nor the curve see them. The fold 4
     fits the curve against counts of folds 1 to 3; the final counts have folds 1 to 4. Texts only are scored: no label,
-    language, source or id. Null and empty texts have mean and peak 0. Rows with a null id are scored and not held out; an
+    language, source or id. Null and empty texts have figures of 0. Rows with a null id are scored and not held out; an
     id with several labels counts as toxic if one says so; repeated rows each count. Without labels of both classes the
     score is the share of toxic labels, 0 if there are none.
     """
@@ -241,12 +249,12 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if part else n))
         drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
         sample = measured(train.where(F.col("kept_out") & drawn if part else drawn).select("toxic", "text"), part or whole).toArrow()
-        x = np.column_stack((sample.column("mean").to_numpy(), sample.column("peak").to_numpy()))
+        x = np.column_stack([sample.column(c).to_numpy() for c in FIGURES])
         weight, offset = logistic(x, sample.column("toxic").to_numpy(zero_copy_only=False).astype(float))
         out = measured(own, whole)
-        odds = F.lit(float(weight[0])) * F.col("mean") + F.lit(float(weight[1])) * F.col("peak") + F.lit(offset)
+        odds = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weight, FIGURES, strict=True)), F.lit(offset))
         out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
     else:
         share = truth.agg(F.avg("toxic")).first()[0] or 0.0
-        out = own.select("doc_id", F.lit(share).alias("score"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("peak"))
-    return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean", "peak")
+        out = own.select("doc_id", F.lit(share).alias("score"), *(F.lit(0.0).alias(c) for c in FIGURES))
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FIGURES)
