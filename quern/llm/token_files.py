@@ -15,6 +15,7 @@ entries and runs over all checkpoints of a block side by side.
 
 from __future__ import annotations
 
+import array
 import itertools
 import os
 import struct
@@ -34,35 +35,78 @@ BLOCK_TOKENS = 1 << 18
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a task remembers; it forgets them all beyond that.
 REMEMBERED = 1 << 20
-HEAD = struct.Struct("<4sIIIQ")
+HEAD = "<4sIIIQ"
 MAGIC = b"QTK1"
 
 
 class WordIds:
     """Ids of texts by the tokenizers library, one call for each distinct word.
 
-    Only for tokenizers that cut at ASCII white space and drop it, as ``word_bpe_49k.json`` does: the ids of a text are then
-    those of its words in a row, whatever the words are.
+    Only for tokenizers that cut at ASCII white space and drop it, normalise by NFC and to lower case, and keep letters apart from
+    marks, as ``word_bpe_49k.json`` does: the ids of a text are then those of its words in a row. Words of lower-case Latin-1
+    letters are what normalising and cutting would leave them, so they go straight to the merges; marks after them are
+    tokenised apart. All other words take the whole way.
+
+    Worker processes outlive tasks, and so does what they remember, up to ``REMEMBERED`` words.
     """
 
     def __init__(self, path: str, kind: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), kind, {}
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_quern_words", {})  # this module may travel by value, that one stays
+        if (path, kind) not in held:
+            merges = tokenizers.Tokenizer.from_file(path)
+            merges.normalizer = tokenizers.normalizers.Sequence([])
+            merges.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            held[path, kind] = tokenizers.Tokenizer.from_file(path), merges, {}
+        (self.tokenizer, self.merges, self.known), self.kind = held[path, kind], kind
+
+    def _learn(self, words: list[str], tokenizer) -> None:
+        for word, found in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = array.array("H" if self.kind == "<u2" else "I", found.ids).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        known, plain, rest, tails = self.known, set(), [], {}
+        for word in words:
+            core = word.rstrip(".,;:!?")
+            if core.isalpha() and core.islower() and latin(core):
+                if core not in known:
+                    plain.add(core)
+                if core != word:
+                    tails[word] = core
+            else:
+                rest.append(word)
+        self._learn(rest, self.tokenizer)
+        self._learn(list(plain), self.merges)
+        self._learn(list({w[len(c) :] for w, c in tails.items()}), self.tokenizer)
+        for word, core in tails.items():
+            known[word] = known[core] + known[word[len(core) :]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") for t in texts]
+        split = []
+        for t in texts:
+            if "<|" not in t and latin(t):
+                t = t.lower()
+            split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" "))
         new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+            self.known.clear()
             new = list(set(itertools.chain.from_iterable(split)))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, self.kind).tobytes()
+        self.learn(new)
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
+def latin(text: str) -> bool:
+    """Whether all is in Latin-1, where NFC changes nothing and lower case looks at one character at a time."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -177,7 +221,7 @@ def block_bytes(code: Code, doc_ids: list, ids: list[np.ndarray]) -> bytes:
     points, bits = code.encode(np.concatenate(ids))
     n = [len(x) for x in ids]
     return b"".join((
-        HEAD.pack(MAGIC, len(ids), len(points), STRIDE, sum(n)),
+        struct.pack(HEAD, MAGIC, len(ids), len(points), STRIDE, sum(n)),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
         np.array([x is not None for x in doc_ids], "<u1").tobytes(),
         np.array(n, "<i8").tobytes(),
@@ -188,10 +232,10 @@ def block_bytes(code: Code, doc_ids: list, ids: list[np.ndarray]) -> bytes:
 
 def block_docs(code: Code, data: bytes):
     """(doc_id, ids) of each document of a block."""
-    magic, d, c, stride, n = HEAD.unpack_from(data)
+    magic, d, c, stride, n = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a block of a token file")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     parts = []
     for kind, k in (("<i8", d), ("<u1", d), ("<i8", d), ("<i8", c)):
         parts.append(np.frombuffer(data, kind, k, at))
