@@ -105,12 +105,12 @@ def oracle_sql(templates: dict[str, str] | None = None) -> str:
     """The same matches by comparing every text with every template, for DuckDB."""
     templates = TEMPLATES if templates is None else templates
     rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates.items())
-    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), x -> x <> '')"
-    cut = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
+    cut = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
     return f"""
     with t as (select name, list_distinct({cut}) as s from (select name, {words} as w from (values {rows}) v(name, text))),
     d as (select doc_id, {cut} as s from (select doc_id, {words} as w from documents)),
     m as (select doc_id, name, t.s as own, d.s as had, list_intersect(t.s, d.s) as common from d, t where list_has_any(d.s, t.s))
     select doc_id, name as license, len(common)::double / len(own) as containment,
-           list_min(list_transform(common, x -> list_position(had, x))) - 1 as first_word
+           (list_min(list_transform(common, lambda x: list_position(had, x))) - 1)::bigint as first_word
     from m where len(common)::double / len(own) >= {CONTAINED}"""

@@ -127,7 +127,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", powers: dict[str, float] | N
 
 def oracle_sql(sweeps: int = 40) -> str:
     """``mixed`` for DuckDB: the sweeps written out one after the other."""
-    words = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> ''))"
+    words = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
     count = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
     parts = [
         f"""d as (select doc_id, n, coalesce(source, '{NONE}') as source, coalesce(lang, '{NONE}') as lang,

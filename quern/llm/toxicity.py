@@ -190,22 +190,52 @@ def figures(words: list[bytes], ratio: np.ndarray) -> list[float]:
     return [float(x) for x in out]
 
 
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with their columns: one pass over the texts, no join."""
+    share, curve = fitted(docs, labels, id_col, text_col)
+    if curve is None:
+        return docs if share < threshold else docs.where(F.lit(False))
+    tables, weight, offset = curve
+    sent, types = docs.sparkSession.sparkContext.broadcast(tables), docs.schema
+    most = np.log(threshold) - np.log1p(-threshold)
+
+    def run(batches):
+        score = Scorer(sent.value)
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                odds = np.array(score([(t or "").encode() for t in part.column(text_col).to_pylist()])).reshape(-1, len(FIGURES)) @ weight + offset
+                yield part.filter(pa.array(odds < most))
+
+    return docs.mapInArrow(run, types)
+
+
+class Scorer:
+    """FIGURES of texts; remembers what words are worth."""
+
+    def __init__(self, tables: dict[str, np.ndarray]) -> None:
+        self.tables, self.known = tables, {}
+
+    def __call__(self, texts: list[bytes]) -> list[list[float]]:
+        split = [t.lower().split() for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(set().union(*split))
+        if new:
+            self.known.update(zip(new, ratios(self.tables, new).tolist(), strict=True))
+        look = self.known.__getitem__
+        return [figures(w, np.fromiter(map(look, w), float, len(w))) for w in split]
+
+
 def measured(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` (with text binary) with FIGURES in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(tables)
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        known: dict[bytes, float] = {}
+        score = Scorer(sent.value)
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                split = [t.lower().split() for t in part.column("text").to_pylist()]
-                new = list(set().union(*split).difference(known))
-                if len(known) + len(new) > REMEMBERED:
-                    known, new = {}, list(set().union(*split))
-                if new:
-                    known.update(zip(new, ratios(sent.value, new).tolist(), strict=True))
-                found = [figures(w, np.fromiter(map(known.__getitem__, w), float, len(w))) for w in split]
+                found = score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], [*kept, *FIGURES])
 
     types = dict(docs.dtypes)
@@ -226,6 +256,27 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.nd
     return w[:-1] / scale, float(w[-1] - (w[:-1] * centre / scale).sum())
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int = BITS):
+    """The share of toxic labels, and (tables, weights, offset), None without labels of both classes."""
+    own = id_and_bytes(docs, id_col, text_col)
+    truth = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(fold("doc_id") != 0)
+    truth = saved(truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity_labels")
+    n = truth.count()
+    train = own.join(F.broadcast(truth) if n <= BROADCAST_ROWS else truth, "doc_id").withColumn("toxic", F.col("toxic") > 0).withColumn("kept_out", fold("doc_id") == 4)
+    words = saved(word_counts(train), "toxicity_words")
+    has = [bool(x) for x in words.agg(*(F.sum(c) for c in ("t0", "o0", "t1", "o1"))).first()]
+    if not ((has[0] or has[2]) and (has[1] or has[3])):
+        return truth.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0, None
+    part = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")), bits) if all(has) else None
+    whole = model(words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary")), bits)
+    rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if part else n))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
+    sample = measured(train.where(F.col("kept_out") & drawn if part else drawn).select("toxic", "text"), part or whole).toArrow()
+    x = np.column_stack([sample.column(c).to_numpy() for c in FIGURES])
+    weight, offset = logistic(x, sample.column("toxic").to_numpy(zero_copy_only=False).astype(float))
+    return None, (whole, weight, offset)
+
+
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(doc_id, held_out, score, predicted, FIGURES...), one row for each row of ``docs``.
 
@@ -236,25 +287,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     score is the share of toxic labels, 0 if there are none.
     """
     own = id_and_bytes(docs, id_col, text_col)
-    truth = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(fold("doc_id") != 0)
-    truth = saved(truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity_labels")
-    n = truth.count()
-    train = own.join(F.broadcast(truth) if n <= BROADCAST_ROWS else truth, "doc_id").withColumn("toxic", F.col("toxic") > 0).withColumn("kept_out", fold("doc_id") == 4)
-    words = saved(word_counts(train), "toxicity_words")
-    seen = words.agg(*(F.sum(c) for c in ("t0", "o0", "t1", "o1"))).first()
-    has = [bool(x) for x in seen]
-    if (has[0] or has[2]) and (has[1] or has[3]):
-        part = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")), bits) if all(has) else None
-        whole = model(words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary")), bits)
-        rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if part else n))
-        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
-        sample = measured(train.where(F.col("kept_out") & drawn if part else drawn).select("toxic", "text"), part or whole).toArrow()
-        x = np.column_stack([sample.column(c).to_numpy() for c in FIGURES])
-        weight, offset = logistic(x, sample.column("toxic").to_numpy(zero_copy_only=False).astype(float))
-        out = measured(own, whole)
-        odds = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weight, FIGURES, strict=True)), F.lit(offset))
-        out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
-    else:
-        share = truth.agg(F.avg("toxic")).first()[0] or 0.0
+    share, curve = fitted(docs, labels, id_col, text_col, bits)
+    if curve is None:
         out = own.select("doc_id", F.lit(share).alias("score"), *(F.lit(0.0).alias(c) for c in FIGURES))
+    else:
+        tables, weight, offset = curve
+        odds = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weight, FIGURES, strict=True)), F.lit(offset))
+        out = measured(own, tables).withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FIGURES)
