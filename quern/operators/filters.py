@@ -123,8 +123,7 @@ class KalmanAlarm(Kalman):
 
     def step(self, state, row):
         x, y, u = column(state[:-1]), column(row[: len(self.h)]), column(row[len(self.h) :])
-        x = self.a @ x + self.b @ u
-        x = x + self.k @ (y - self.h @ x)
+        x = self.a @ x + self.b @ u + self.k @ (y - self.h @ x)
         rest = y - self.h @ x
         distance = float((rest.T @ self.weigh @ rest)[0, 0])
         alarm = self.memory * state[-1] + (1 - self.memory) * (distance > self.bound)

@@ -40,7 +40,7 @@ class Sums:
         """Pooled over all outputs, with one mean for them all."""
         rows = max(1, self.n * self.c.shape[1])
         total = self.s.sum() - self.y.sum() ** 2 / rows
-        return 1 - self.error(w) * rows / total if total > 0 else 0.0
+        return float(1 - self.error(w) * rows / total) if total > 0 else 0.0
 
 
 def gram(df: DataFrame, z: Sequence[Column], y: Sequence[Column] = (), wide: int = WIDE) -> Sums:
@@ -130,7 +130,7 @@ def relaxed(g: np.ndarray, c: np.ndarray, lam: float, rho: float = 1.0, n_iter:
         x = inverse @ (c + rho * (z - u))
         z, last = soft(x + u, lam / rho), z
         u = u + x - z
-        if np.linalg.norm(z - last) <= rel_tol * max(np.linalg.norm(last), 1e-12):
+        if max(np.linalg.norm(z - last), np.linalg.norm(x - z)) <= rel_tol * max(np.linalg.norm(last), 1e-12):
             break
     return np.where(np.abs(z) > cut * lam / rho, z, 0.0), (z, u)
 

@@ -528,7 +528,7 @@ def dsp_rfft16(spark, d):
     return s.select("user_id", "k", (F.round("c.re", 5) + 0.0).alias("re"), (F.round("c.im", 5) + 0.0).alias("im"))
 
 
-@query("sim_reference_trajectory", "select n, h::int as h, case (n + h) // 250 % 4 when 0 then 1.0 when 1 then 1.0 when 2 then -1.0 else -1.0 end as xr, case (n + h) // 250 % 4 when 0 then 1.0 when 1 then -1.0 when 2 then -1.0 else 1.0 end as yr from range(1000) g(n), range(8) k(h)")
+@query("sim_reference_trajectory", "select n, h::int as h, case (n + h) // 250 % 4 when 0 then 1.0 when 1 then 1.0 when 2 then -1.0 else -1.0 end::double as xr, case (n + h) // 250 % 4 when 0 then 1.0 when 1 then -1.0 when 2 then -1.0 else 1.0 end::double as yr from range(1000) g(n), range(8) k(h)")
 def sim_reference_trajectory(spark, d):
     g = spark.range(1000).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("h"))
     leg = F.floor((F.col("n") + F.col("h")) / 250) % 4
