@@ -686,3 +686,86 @@ def ftr_series_features(spark, d):
 def ctl_adrc(spark, d):
     df = events(spark, d).withColumn("xr", F.lit(50.0)).withColumn("u", F.lit(0.0))
     return rounded(fl.filtered(df, fl.Adrc(1.0, 0.5, 2.0, 0.1), "user_id", BY, ["xr", "value", "u"]))
+
+
+# Smaller forms ------------------------------------------------------------------------------------------------------
+
+
+@query("prj_train_only_standardise", f"select o_orderkey, round((x0 - (select avg(x0) from {X_SQL} where o_orderkey < 0.8 * (select count(*) from orders))) / ((select stddev_pop(x0) from {X_SQL} where o_orderkey < 0.8 * (select count(*) from orders)) + 1e-8), 6) as x0 from {X_SQL}")
+def prj_train_only_standardise(spark, d):
+    df = points(spark, d).select("o_orderkey", "x0")
+    return rounded(dc.standardised(df, ["x0"], 1e-8, df.where(F.col("o_orderkey") < 0.8 * df.count())))
+
+
+@query("srt_prefix", f"select o_orderkey, x0 from {X_SQL} where o_orderkey < 100")
+def srt_prefix(spark, d):
+    return points(spark, d).where("o_orderkey < 100").select("o_orderkey", "x0")
+
+
+@query("sim_disturbance", "select i as seq, case when i > 500 then 0.5::double + ((i * 37 % 101) / 101.0 - 0.5) * 0.2 else 0.0 end as w from range(1000) g(i)")
+def sim_disturbance(spark, d):
+    w = F.when(F.col("id") > 500, 0.5 + (F.col("id") * 37 % 101 / 101.0 - 0.5) * 0.2).otherwise(0.0)
+    return spark.range(1000).select(F.col("id").alias("seq"), w.alias("w"))
+
+
+@query("agg_detection_mean_of_groups", f"""select round(avg(tp / (tp + fp + 1e-7)), 5) as precision, round(avg(tp / (tp + fn + 1e-7)), 5) as recall, round(avg(tp / (tp + fp + fn + 1e-7)), 5) as iou, round(avg(2 * tp / (2 * tp + fp + fn + 1e-7)), 5) as dice
+    from (select lang, {_COUNTS} from {LABELLED_SQL} group by lang)""")
+def agg_detection_mean_of_groups(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("lang", F.col("toxic").alias("y"), (F.col("n_chars") / (F.col("n_chars") + 1500.0)).alias("s"))
+    each = df.groupBy("lang").agg(*mt.detection_counts(F.col("y"), F.col("s")))
+    ratios = mt.detection_ratios(1e-7)
+    return each.agg(*(F.round(F.avg(ratios[n]), 5).alias(n) for n in ("precision", "recall", "iou", "dice")))
+
+
+@query("flt_ema_alarm", _recursive("0.01::double * (abs(value - 50) > 40)::int", "0.99::double * s.y + 0.01::double * (abs(e.value - 50) > 40)::int", "y", "round(y, 8) as alarm"))
+def flt_ema_alarm(spark, d):
+    def step(s, row):
+        return {"y": 0.99 * s["y"] + 0.01 * (F.abs(row["value"] - 50) > 40).cast("double")}
+
+    out = se.recurrence(events(spark, d), "user_id", BY, ["value"], {"y": 0.0}, step, {"alarm": lambda new, row: new["y"]})
+    return out.select("user_id", "event_id", F.round("alarm", 8).alias("alarm"))
+
+
+@query("jon_class_lookup", "select event_id, case event_type when 'click' then 0 when 'error' then 1 when 'view' then 2 else -1 end as class from events")
+def jon_class_lookup(spark, d):
+    ids = F.create_map(*(F.lit(v) for pair in {"click": 0, "error": 1, "view": 2}.items() for v in pair))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(ids, F.col("event_type")), F.lit(-1)).alias("class"))
+
+
+@query("agg_distinct_colours", "select distinct o_custkey % 4 as r, o_orderkey % 3 as g, o_orderkey % 5 as b from orders")
+def agg_distinct_colours(spark, d):
+    return table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("r"), (F.col("o_orderkey") % 3).alias("g"), (F.col("o_orderkey") % 5).alias("b")).distinct()
+
+
+@query("jon_pixel_colours", "select o_orderkey as pixel, (o_custkey % 4 = 1 and o_orderkey % 3 = 2)::int as mask from orders")
+def jon_pixel_colours(spark, d):
+    pixels = table(spark, d, "orders").select(F.col("o_orderkey").alias("pixel"), (F.col("o_custkey") % 4).alias("r"), (F.col("o_orderkey") % 3).alias("g"), F.lit(0).alias("b"))
+    return src.colour_mask(pixels, [(1, 2, 0)]).select("pixel", "mask")
+
+
+@query("spl_first_batch", f"select round(avg(o_totalprice), 4) as base, round(stddev_pop(o_totalprice), 4) as scale from (select {sm.mix_sql('i', 9)} % (select count(*) from orders) as o_orderkey from range(512) g(i)) join orders using (o_orderkey)")
+def spl_first_batch(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return sm.with_replacement(orders, "o_orderkey", orders.count(), 512, 9).agg(F.round(F.avg("o_totalprice"), 4).alias("base"), F.round(F.stddev_pop("o_totalprice"), 4).alias("scale"))
+
+
+@query("agg_coefficient_recovery", "select round(avg((a - b) * (a - b)), 8) as mse, sum((b <> 0)::int)::bigint as nonzero from (values (1.5, 1.49), (0.0, 0.0), (-2.0, -2.01), (0.8, 0.0)) v(a, b)")
+def agg_coefficient_recovery(spark, d):
+    df = spark.createDataFrame([(1.5, 1.49), (0.0, 0.0), (-2.0, -2.01), (0.8, 0.0)], "a double, b double")
+    return df.agg(F.round(F.avg((F.col("a") - F.col("b")) ** 2), 8).alias("mse"), F.sum((F.col("b") != 0).cast("long")).alias("nonzero"))
+
+
+@query("tre_vote_fixed", f"""with recursive nodes(tree, node, depth, f, th, l, r, v) as (values {", ".join(str(n) for n in _FIXED)}), x as {X_SQL},
+    w as (select o_orderkey, x0, x1, x2, tree, 0 as node from x, (select distinct tree from nodes)
+        union all select o_orderkey, x0, x1, x2, w.tree, case when (case f when 0 then x0 when 1 then x1 else x2 end) < th then l else r end from w join nodes on nodes.tree = w.tree and nodes.node = w.node where f >= 0)
+    select o_orderkey, class from (select o_orderkey, v::double as class, row_number() over (partition by o_orderkey order by count(*) desc, v) as k from w join nodes on nodes.tree = w.tree and nodes.node = w.node where f < 0 group by o_orderkey, v) where k = 1""")
+def tre_vote_fixed(spark, d):
+    return tr.Forest(list(X), _fixed_nodes(), "vote").score(points(spark, d), "class").select("o_orderkey", "class")
+
+
+@query("emb_mean_squared_difference", "select round(avg((a - b) * (a - b)), 8) as mse from (select unnest(x.embedding)::double as a, unnest(y.embedding)::double as b from embeddings x join embeddings y on y.vec_id = x.vec_id + 1)")
+def emb_mean_squared_difference(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    total = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return pairs.agg(F.round(F.sum(total) / F.sum(F.size("x")), 8).alias("mse"))
