@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ FIGURES = ("mean", *(f"peak_{n}" for n in RUNS), *(f"excess_{n}" for n in EXCESS
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows, and shuffled beyond.
 BROADCAST_ROWS = 4_000_000
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 START, END = 256, 257
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Columns of the model: raw counts of full n-grams and of their contexts by class, kinds of symbols after a context by
@@ -142,15 +143,24 @@ def model(words: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(slot(h, bits)), *(batch.column(f) for f in FIELDS)], ["slot", *FIELDS])
 
     schema = "slot long, " + ", ".join(f"{f} long" for f in FIELDS)
-    found = parts.mapInArrow(place, schema).groupBy("slot").agg(*(F.sum(f).alias(f) for f in FIELDS)).toArrow()
-    out = {f: np.zeros(1 << bits, np.float32) for f in FIELDS}
+    sums = parts.mapInArrow(place, schema).groupBy("slot").agg(*(F.sum(f).cast("float").alias(f) for f in FIELDS))
+    found = sums.withColumn("slot", F.col("slot").cast("int")).toArrow()
+    out, at = {f: np.zeros(1 << bits, np.float32) for f in FIELDS}, found.column("slot").to_numpy()
     for f in FIELDS:
-        out[f][found.column("slot").to_numpy()] = found.column(f).to_numpy()
+        out[f][at] = found.column(f).to_numpy()
+    del found, at
+    pa.default_memory_pool().release_unused()
     return out
 
 
-def ratios(tables: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
-    """For each word the sum over its symbols of log P(toxic model) - log P(ordinary model)."""
+def ratios(tables: dict[str, np.ndarray], words: list[bytes], symbols: int = 1 << 15) -> np.ndarray:
+    """For each word the sum over its symbols of log P(toxic model) - log P(ordinary model); about ``symbols`` of them at a time."""
+    part = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1) // symbols
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+    return np.concatenate([_ratios(tables, words[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a] or [np.zeros(0)])
+
+
+def _ratios(tables: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     bits = len(tables["cont"]).bit_length() - 1
     hashes, place, word = grams(words)
     use = place > 0
@@ -195,8 +205,8 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str
     share, curve = fitted(docs, labels, id_col, text_col)
     if curve is None:
         return docs if share < threshold else docs.where(F.lit(False))
-    tables, weight, offset = curve
-    sent, types = docs.sparkSession.sparkContext.broadcast(tables), docs.schema
+    sent, weight, offset = curve
+    types = docs.schema
     most = np.log(threshold) - np.log1p(-threshold)
 
     def run(batches):
@@ -226,9 +236,8 @@ class Scorer:
         return [figures(w, np.fromiter(map(look, w), float, len(w))) for w in split]
 
 
-def measured(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` (with text binary) with FIGURES in place of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+def measured(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """``docs`` (with text binary) with FIGURES in place of the text, by the model that was sent."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches):
@@ -257,7 +266,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.nd
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int = BITS):
-    """The share of toxic labels, and (tables, weights, offset), None without labels of both classes."""
+    """The share of toxic labels, and (model sent to the workers, weights, offset), None without labels of both classes."""
     own = id_and_bytes(docs, id_col, text_col)
     truth = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(fold("doc_id") != 0)
     truth = saved(truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity_labels")
@@ -267,14 +276,21 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits:
     has = [bool(x) for x in words.agg(*(F.sum(c) for c in ("t0", "o0", "t1", "o1"))).first()]
     if not ((has[0] or has[2]) and (has[1] or has[3])):
         return truth.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0, None
-    part = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")), bits) if all(has) else None
-    whole = model(words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary")), bits)
-    rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if part else n))
+    folded = words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary"))
+    apart = all(has)
+    # one model at a time on the driver: that of the sample goes before the final one comes
+    tables = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")) if apart else folded, bits)
+    rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if apart else n))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
-    sample = measured(train.where(F.col("kept_out") & drawn if part else drawn).select("toxic", "text"), part or whole).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    sample = measured(train.where(F.col("kept_out") & drawn if apart else drawn).select("toxic", "text"), sent).toArrow()
+    sent.destroy()
+    if apart:
+        del tables
+        tables = model(folded, bits)
     x = np.column_stack([sample.column(c).to_numpy() for c in FIGURES])
     weight, offset = logistic(x, sample.column("toxic").to_numpy(zero_copy_only=False).astype(float))
-    return None, (whole, weight, offset)
+    return None, (docs.sparkSession.sparkContext.broadcast(tables), weight, offset)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -291,7 +307,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if curve is None:
         out = own.select("doc_id", F.lit(share).alias("score"), *(F.lit(0.0).alias(c) for c in FIGURES))
     else:
-        tables, weight, offset = curve
+        sent, weight, offset = curve
         odds = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weight, FIGURES, strict=True)), F.lit(offset))
-        out = measured(own, tables).withColumn("score", 1 / (1 + F.exp(-odds)))
+        out = measured(own, sent).withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FIGURES)
