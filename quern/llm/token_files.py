@@ -31,10 +31,10 @@ from .common import dropped, saved, shared_path
 
 MAX_LENGTH = 16
 STRIDE = 64
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 16
 SHARD_TOKENS = 1 << 24
-#: Words whose ids a task remembers; it forgets them all beyond that.
-REMEMBERED = 1 << 20
+#: Words whose ids a worker remembers, some 350 MB at most; it forgets them all beyond that.
+REMEMBERED = 1 << 21
 HEAD = "<4sIIIQ"
 MAGIC = b"QTK1"
 
@@ -130,13 +130,9 @@ def counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(ids, kind))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=len(total))
+            own[: len(total)] += total
+            total = own
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": there.astype(np.int64), "n": total[there].astype(np.int64)})
 
@@ -177,7 +173,7 @@ class Code:
 
     def __init__(self, lengths: dict[int, int]) -> None:
         top = max(lengths, default=0) + 1
-        self.code, self.length = np.zeros(top, np.uint32), np.zeros(top, np.int64)
+        self.code, self.length = np.zeros(top, np.uint32), np.zeros(top, np.uint8)
         self.symbol_at, self.length_at = np.zeros(1 << MAX_LENGTH, np.uint32), np.ones(1 << MAX_LENGTH, np.int64)
         word = before = 0
         for length, symbol in sorted((n, s) for s, n in lengths.items()):
@@ -190,20 +186,23 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Bit offsets of every STRIDE-th id, and the bits."""
+        if not len(ids):
+            return np.zeros(0, np.int64), b""
         length = self.length[ids]
-        end = np.cumsum(length)
+        end = np.cumsum(length, dtype=np.int64)
         start = end - length
-        if not len(ids):
-            return start, b""
         # each code lies within the three bytes from the one it starts in; codes never overlap, so sums are unions
-        part = self.code[ids].astype(np.int64) << (24 - (start & 7) - length)
+        part = self.code[ids] << (24 - (start & 7) - length).astype(np.uint32)
         byte = start >> 3
-        first = np.concatenate(([0], np.flatnonzero(np.diff(byte)) + 1))
+        new = np.empty(len(ids), bool)
+        new[0] = True
+        np.not_equal(byte[1:], byte[:-1], out=new[1:])
+        first = np.flatnonzero(new)
         joined, at = np.add.reduceat(part, first), byte[first]
-        out = np.zeros(int(end[-1] + 7 >> 3) + 2, np.int64)
+        out = np.zeros(int(end[-1] + 7 >> 3) + 2, np.uint8)
         for k in range(3):
-            out[at + k] += joined >> (16 - 8 * k) & 255
-        return start[::STRIDE], out[: int(end[-1] + 7 >> 3)].astype(np.uint8).tobytes()
+            out[at + k] += (joined >> np.uint32(16 - 8 * k) & np.uint32(255)).astype(np.uint8)
+        return start[::STRIDE], out[: int(end[-1] + 7 >> 3)].tobytes()
 
     def decode(self, bits: bytes, n: int, checkpoints: np.ndarray, stride: int) -> np.ndarray:
         raw = np.concatenate((np.frombuffer(bits, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
