@@ -35,8 +35,8 @@ def tokens(text: Column) -> Column:
 def topic(text: Column, words: Column) -> Column:
     """A topic by form: table (cell bars), code (other symbols), note (under 50 words), article."""
     text = F.coalesce(text, F.lit(""))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    return F.when(count("|") * 10 >= F.greatest(words, F.lit(1)), "table").when(count("#*$%&<>") * 5 >= F.greatest(words, F.lit(1)), "code").when(words < 50, "note").otherwise("article")
+    count = lambda chars: F.size(F.split(text, chars)) - 1
+    return F.when(count(r"\|") * 10 >= F.greatest(words, F.lit(1)), "table").when(count("[#*$%&<>]") * 5 >= F.greatest(words, F.lit(1)), "code").when(words < 50, "note").otherwise("article")
 
 
 def with_cell(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,12 +95,11 @@ def uniform(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def with_probability(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``docs`` with _tokens, _source, _lang, _topic and _probability. ``targets``: by margin a table (value, share); else by ``powers``.
+def with_probability(placed: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``with_cell`` with _probability. ``targets``: by margin a table (value, share); else by ``powers``.
 
     Documents without words have the probability 1: they weigh nothing.
     """
-    placed = with_cell(docs)
     slim = placed.select("_tokens", *(f"_{m}" for m in MARGINS))
     cells = saved(cells_of(slim), "mixing_available")
     found = saved(probabilities(raked(cells, targets or power_targets(cells, powers or POWERS))), "mixing_probabilities")
@@ -116,13 +115,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", powers: dict[str, float] | No
     A row is kept if the number that its id determines is below its probability, so rows with equal ids in one cell go or
     stay together. Null categories count as "(none)", null texts as empty. An empty table gives an empty result.
     """
-    out = with_probability(docs.select(id_col, "text", "source", "lang"), powers)
+    placed = with_cell(docs.select(id_col, "text", "source", "lang")).select(id_col, "_tokens", *(f"_{m}" for m in MARGINS))
+    out = with_probability(saved(placed, "mixing_rows"), powers)  # the texts are read once
     return out.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), (uniform(id_col) < F.col("_probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", powers: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` that ``mixed`` keeps, with their columns."""
-    return with_probability(docs, powers).where(uniform(id_col) < F.col("_probability")).select(*(f"`{c}`" for c in docs.columns))
+    return with_probability(with_cell(docs), powers).where(uniform(id_col) < F.col("_probability")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def oracle_sql(sweeps: int = 40) -> str:

@@ -52,7 +52,7 @@ def test_against_dictionaries(spark, sf):
 def test_given_targets(spark, make_docs):
     docs = make_docs([(i, "w " * 60) for i in range(300)])
     targets = {"source": spark.createDataFrame([("s0", 0.6), ("s1", 0.3), ("s2", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("en", 1.0)], "lang string, share double"), "topic": spark.createDataFrame([("article", 1.0)], "topic string, share double")}
-    got = {r["_source"]: r["_probability"] for r in mixing.with_probability(docs, targets=targets).select("_source", "_probability").distinct().collect()}
+    got = {r["_source"]: r["_probability"] for r in mixing.with_probability(mixing.with_cell(docs), targets=targets).select("_source", "_probability").distinct().collect()}
     assert np.allclose([got["s0"], got["s1"], got["s2"]], [1, 0.5, 1 / 6])
 
 
