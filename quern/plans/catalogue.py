@@ -132,7 +132,7 @@ def prj_camera_point(spark, d):
 
 
 def _dictionary(name: str, node, exprs: list[str]) -> None:
-    sql = "select o_orderkey, " + ", ".join(f"round({e}, 6) as z{i}" for i, e in enumerate(exprs)) + f" from {X_SQL}"
+    sql = "select o_orderkey, " + ", ".join(f"round({e}, 6) + 0.0 as z{i}" for i, e in enumerate(exprs)) + f" from {X_SQL}"
     query(name, sql)(lambda spark, d: rounded(dc.apply(points(spark, d), node, X, ["o_orderkey"])))
 
 
@@ -469,7 +469,7 @@ def flt_kalman_forecast(spark, d):
     return h.select("user_id", "step", F.round(F.col("m.x0") + F.col("m.x1") + F.col("m.x1") * F.col("step"), 5).alias("y"))
 
 
-@query("flt_frequency_response", f"with p as (select i, i * pi() / 63 as w from range(64) g(i)), q as (select i, w, {_B[0]} + {_B[1]} * cos(w) + {_B[2]} * cos(2 * w) as nr, -({_B[1]} * sin(w) + {_B[2]} * sin(2 * w)) as ni, 1 + {_A[0]} * cos(w) + {_A[1]} * cos(2 * w) as dr, -({_A[0]} * sin(w) + {_A[1]} * sin(2 * w)) as di from p) select i, round(w, 6) as w, round((nr * dr + ni * di) / (dr * dr + di * di), 6) as re, round((ni * dr - nr * di) / (dr * dr + di * di), 6) as im from q")
+@query("flt_frequency_response", f"with p as (select i, i * pi() / 63 as w from range(64) g(i)), q as (select i, w, {_B[0]} + {_B[1]} * cos(w) + {_B[2]} * cos(2 * w) as nr, -({_B[1]} * sin(w) + {_B[2]} * sin(2 * w)) as ni, 1 + {_A[0]} * cos(w) + {_A[1]} * cos(2 * w) as dr, -({_A[0]} * sin(w) + {_A[1]} * sin(2 * w)) as di from p) select i, round(w, 6) as w, round((nr * dr + ni * di) / (dr * dr + di * di), 6) + 0.0 as re, round((ni * dr - nr * di) / (dr * dr + di * di), 6) + 0.0 as im from q")
 def flt_frequency_response(spark, d):
     w = F.col("id") * math.pi / 63
     (b0, b1, b2), (a1, a2) = _LP.b, _LP.a
