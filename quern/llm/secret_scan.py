@@ -36,7 +36,8 @@ KINDS = ("assign", "access", "hex", "jwt", "ssh", "der")
 
 # Begins where a run of its letters begins and never gives letters back, so a run of any length is read once.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
-ENCODED = re.compile(r"[A-Za-z0-9+/]{24,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}|[A-Za-z0-9_-]{24,}={0,2}")
+# One pass for each alphabet: a key in one of them has pieces that are runs in the other.
+ENCODED = tuple(re.compile(rf"[{letters}]{{24,}}(?:\r?\n[{letters}]+)*={{0,2}}") for letters in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 # Names of SSH key types.
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
@@ -123,7 +124,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "." in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
-    for m in ENCODED.finditer(text):
+    for m in (m for pattern in ENCODED for m in pattern.finditer(text)):
         # the first byte of what is looked for (0x30, a length, or the magic) fixes the first letter
         if m[0][0] in "MAb":
             for own in dict.fromkeys((m[0], m[0].split("\n")[0].rstrip("\r"))):  # all lines, or the first where text goes on below

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 import struct
 
@@ -47,6 +48,19 @@ def test_structures():
     assert not [k for k, _, _ in ss.spans(broken) if k in ("jwt", "ssh", "der")]
 
 
+def test_both_alphabets():
+    draw = random.Random(1)
+    for size in (37, 60, 125, 300, 600, 1200):
+        for _ in range(20):
+            key = der(0x30, der(2, b"\0") + der(2, draw.randbytes(size)))
+            for text in (url(key), base64.urlsafe_b64encode(key).decode(), base64.b64encode(key).decode()):
+                assert ("der", 4, 4 + len(text)) in ss.spans(f"key {text} end")
+    for _ in range(200):
+        raw = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-ed25519", draw.randbytes(32)))
+        for text in (url(raw), base64.b64encode(raw).decode()):
+            assert [s for s in ss.spans(text) if s[0] == "ssh"] == [("ssh", 0, len(text))]
+
+
 def test_base_patterns(spark, make_docs, odd_rows, sf):
     odd = [*odd_rows, (20, 'PassWord = "abcdef" ſecret=abcdefgh toKen:abcdefg API_KEY:\'x.y-z=1\' token=abc secret: token=abcdefgh'), (21, "AKIA" + "Z" * 15 + " AKIAAKIA" + "0" * 12 + "\xe9" + "0a" * 12 + "g" + "f" * 23), (22, f"secret={'ab' * 30}")]
     for docs in (make_docs(odd), spark.read.parquet(f"{sf}/documents.parquet")):
