@@ -9,17 +9,18 @@ Base kinds are found by pattern alone. The method adds kinds that must decode an
 * ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE of exactly the candidate's length whose nested lengths add up and
   that has an INTEGER or an object identifier inside, as keys have; armour lines are not needed.
 
-Base64 may run over lines, as in armoured keys. Spans are in code points, end exclusive.
+Base64 may run over lines, also indented ones and escaped line ends, as in armoured keys, YAML and JSON. Keys may stand behind and
+before other letters: they begin wherever their first bytes can, and end where their outer lengths say; SSH keys end with a line. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
-import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex", "jwt", "ssh", "der")
 
-# Begins where a run of its letters begins and never gives letters back, so a run of any length is read once.
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
+# The header alone is consumed, so each part can be the header of a token; no letter is given back, so a run is read at most three times.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)(?=\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+))")
+# Line ends inside a key, real ones or escaped as in JSON, and indentation.
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*")
 # One pass for each alphabet: a key in one of them has pieces that are runs in the other.
-ENCODED = tuple(re.compile(rf"[{letters}]{{24,}}(?:\r?\n[{letters}]+)*={{0,2}}") for letters in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
+ENCODED = tuple(re.compile(rf"[{letters}]{{24,}}+(?:{BREAK.pattern}[{letters}]++)*+={{0,2}}") for letters in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
+# What 0x30 and a length, the length of a name of SSH, and the magic of SSH begin with in base64.
+STARTS = re.compile(r"M(?=[B-H]|I[E-T])|A(?=AAA[A-Z])|b(?=3BlbnNzaC1rZXktdjEA)")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
-# Names of SSH key types.
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
+# Names of SSH key types and the fields of their public keys, the name included.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 SSH_MAGIC = b"openssh-key-v1\0"
 SEQUENCE, SET, INTEGER, IDENTIFIER = 0x30, 0x31, 0x02, 0x06
 MAX_NESTING = 16
@@ -66,25 +71,16 @@ def _object(part: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def is_signed_token(text: str) -> bool:
-    head, body, signature = text.split(".", 2)
-    found = _object(head)
-    if not found or not isinstance(found.get("alg"), str) or _object(body) is None:
-        return False
-    return found["alg"].lower() == "none" or len(decoded(signature) or b"") >= 16
-
-
-def is_ssh_key(raw: bytes) -> bool:
-    if raw.startswith(SSH_MAGIC):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(raw):
-        (n,) = struct.unpack_from(">I", raw, at)
-        at += 4 + n
-        if at > len(raw):
-            return False
-        fields.append(raw[at - n : at])
-    return at == len(raw) and len(fields) > 1 and fields[0] in SSH_NAMES
+def token_start(head: str, body: str, signature: str) -> int | None:
+    """Where in ``head`` the header of a signed token begins: at its start, or at an ``eyJ`` behind other letters."""
+    if _object(body) is None:
+        return None
+    signed = len(decoded(signature) or b"") >= 16
+    for at in dict.fromkeys((0, *(m.start() for m in re.finditer("eyJ", head)))):
+        found = _object(head[at:])
+        if found and isinstance(found.get("alg"), str) and (signed or found["alg"].lower() == "none"):
+            return at
+    return None
 
 
 def _elements(raw: bytes, at: int, end: int, depth: int, tags: set[int]) -> bool:
@@ -113,6 +109,95 @@ def is_der_key(raw: bytes) -> bool:
     return len(raw) >= 24 and raw[0] == SEQUENCE and _elements(raw, 0, len(raw), 0, tags) and bool(tags & {INTEGER, IDENTIFIER})
 
 
+def _part(letters: str, at: int, i: int, n: int) -> bytes:
+    """Bytes i to i + n of the base64 that begins at ``at``; fewer where it ends."""
+    first = at + i // 3 * 4
+    part = letters[first : first + (i % 3 + n + 2) // 3 * 4]
+    return (decoded(part[: len(part) - (len(part) % 4 == 1)]) or b"")[i % 3 : i % 3 + n]
+
+
+def _ssh_size(letters: str, at: int) -> int | None:
+    """Bytes of an SSH key: its name states the number of fields, the container (cipher, derivation, options, keys, private part) that of keys."""
+
+    def number(i: int) -> int | None:
+        raw = _part(letters, at, i, 4)
+        return int.from_bytes(raw, "big") if len(raw) == 4 else None
+
+    i, left, inside = 0, 0, _part(letters, at, 0, len(SSH_MAGIC)) == SSH_MAGIC
+    if inside:
+        i, left = len(SSH_MAGIC), 3
+    elif (n := number(0)) and n <= max(map(len, SSH_FIELDS)):
+        left = SSH_FIELDS.get(_part(letters, at, 4, n), 0)
+    while left and 4 * i < 3 * (len(letters) - at):
+        if (n := number(i)) is None:
+            return None
+        i, left = i + 4 + n, left - 1
+        if inside and not left:
+            if (n := number(i)) is None:
+                return None
+            i, left, inside = i + 4, n + 1, False
+    return None if left else i or None
+
+
+def _der_size(letters: str, at: int) -> int | None:
+    """Bytes of the ASN.1 SEQUENCE that begins there, as its header states."""
+    raw = _part(letters, at, 0, 6)
+    if len(raw) < 6 or raw[0] != SEQUENCE:
+        return None
+    if raw[1] < 0x80:
+        return 2 + raw[1]
+    size = raw[1] & 0x7F
+    return 2 + size + int.from_bytes(raw[2 : 2 + size], "big") if 1 <= size <= 4 else None
+
+
+def _like_key(raw: bytes) -> bool:
+    """Whether a SEQUENCE begins as keys do and has more than one element; asked behind other letters, where chance has more tries."""
+    at = 2 if raw[1] < 0x80 else 2 + (raw[1] & 0x7F)
+    n, own = raw[at + 1], 2
+    if n >= 0x80:
+        own += n & 0x7F
+        n = int.from_bytes(raw[at + 2 : at + own], "big")
+    return raw[at] in (INTEGER, IDENTIFIER, SEQUENCE) and at + own + n < len(raw)
+
+
+def encoded_keys(run: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in a run of base64 letters with line breaks and padding."""
+    if not STARTS.search(run) and not BREAK.search(run):
+        return []
+    body, parts, lines, at, n = run.rstrip("="), [], [], 0, 0
+    for m in (*BREAK.finditer(body), None):
+        parts.append(body[at : m.start() if m else len(body)])
+        lines.append((n, at))  # where a line begins in the letters and in the run
+        n, at = n + len(parts[-1]), m.end() if m else at
+    letters, ends = "".join(parts), {a for a, _ in lines} | {n}
+
+    def place(i: int, end: bool = False) -> int:
+        if end and i == n:
+            return len(run)
+        k = bisect.bisect_left(lines, (i,)) - 1 if end else bisect.bisect_right(lines, (i, len(run))) - 1
+        return lines[k][1] + i - lines[k][0]
+
+    found, free = [], 0
+    for m in STARTS.finditer(letters):
+        at = m.start()
+        if at < free:
+            continue
+        kind = "der" if m[0] == "M" else "ssh"
+        size = (_der_size if kind == "der" else _ssh_size)(letters, at)
+        end = at - (-(size or 0) * 4 // 3)
+        holds = size is not None and end <= n
+        if kind == "der":
+            holds = holds and is_der_key(raw := _part(letters, at, 0, size)) and (at in ends or _like_key(raw))
+        else:
+            holds = holds and end in ends  # only lengths were checked, so nothing may follow in the line
+            if not holds and m[0] == "b":
+                end, holds = n, True  # the magic is enough
+        if holds:
+            found.append((kind, place(at), place(end, True)))
+            free = end
+    return found
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a text's secrets, by start and then in the order of ``KINDS``."""
     found = []
@@ -123,18 +208,16 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "." in text:
-        found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
-    for m in (m for pattern in ENCODED for m in pattern.finditer(text)):
-        # the first byte of what is looked for (0x30, a length, or the magic) fixes the first letter
-        if m[0][0] in "MAb":
-            for own in dict.fromkeys((m[0], m[0].split("\n")[0].rstrip("\r"))):  # all lines, or the first where text goes on below
-                if kinds := [kind for kind, holds in (("ssh", is_ssh_key), ("der", is_der_key)) if holds(decoded(own) or b"")]:
-                    found += [(kind, m.start(), m.start() + len(own)) for kind in kinds]
-                    break
+        found += [("jwt", m.start() + at, m.end(3)) for m in TOKEN.finditer(text) if (at := token_start(*m.groups())) is not None]
+    for pattern in ENCODED:
+        for m in pattern.finditer(text):
+            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in encoded_keys(m[0])]
+    longest = {s[:2]: s for s in sorted(found)}  # of what both alphabets read from one place
+    found = list(longest.values())
     for m in ANY_HEX.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der", *m.span()))
-    return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:

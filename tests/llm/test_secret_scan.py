@@ -61,6 +61,33 @@ def test_both_alphabets():
             assert [s for s in ss.spans(text) if s[0] == "ssh"] == [("ssh", 0, len(text))]
 
 
+def test_keys_inside_other_letters():
+    draw = random.Random(2)
+    key = der(0x30, der(2, b"\0") + der(2, draw.randbytes(300)))
+    lines = base64.encodebytes(key).decode().rstrip("=\n").split("\n")
+    pem = base64.b64encode(key).decode()
+    for text in (
+        json.dumps({"key": "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----"}),
+        json.dumps({"env": json.dumps("\r\n".join(lines))}),
+        "key: |\n" + "\n".join(f"    {x}" for x in lines) + "\nnext: 1",
+        "\n".join([*lines, "Letters"]),
+        f"data{pem} end",
+        f"key_{url(key)} end",
+    ):
+        found = [text[a:b] for k, a, b in ss.spans(text) if k == "der"]
+        assert len(found) == 1 and ss.decoded(re.sub(r"\s|\\+[rn]", "", found[0])) == key, text
+    for text in (f"sessionid.{JWT}", f"token_{JWT}", f"jwt-{JWT}", f"{JWT} {JWT}"):
+        assert {text[a:b] for k, a, b in ss.spans(text) if k == "jwt"} == {JWT}
+    field = lambda x: struct.pack(">I", len(x)) + x
+    private = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(SSH) + field(draw.randbytes(136))
+    for raw in (SSH, private):
+        ssh = base64.b64encode(raw).decode().rstrip("=")
+        for text, want in ((f"x{ssh}\nmore", ssh), (f"  {ssh[:70]}\n  {ssh[70:]}\n" if ssh[70:] else f"  {ssh}", f"{ssh[:70]}\n  {ssh[70:]}" if ssh[70:] else ssh)):
+            assert [text[a:b] for k, a, b in ss.spans(text) if k == "ssh"] == [want]
+    noise = base64.b64encode(draw.randbytes(3_000_000)).decode() + "A" * 200_000 + "MIMI" * 50_000
+    assert not [s for s in ss.spans(noise) if s[0] in ("ssh", "der")]
+
+
 def test_base_patterns(spark, make_docs, odd_rows, sf):
     odd = [*odd_rows, (20, 'PassWord = "abcdef" ſecret=abcdefgh toKen:abcdefg API_KEY:\'x.y-z=1\' token=abc secret: token=abcdefgh'), (21, "AKIA" + "Z" * 15 + " AKIAAKIA" + "0" * 12 + "\xe9" + "0a" * 12 + "g" + "f" * 23), (22, f"secret={'ab' * 30}")]
     for docs in (make_docs(odd), spark.read.parquet(f"{sf}/documents.parquet")):
