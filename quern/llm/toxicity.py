@@ -12,8 +12,8 @@ of ordinary words that the smaller class knows less well. A logistic curve over
 sample of training texts that were kept out of the counts, turns them into a score.
 
 Counts cover all training texts: words are counted per task, summed over the cluster, and cut into n-grams there; n-grams
-are distinct before continuation counts are taken. Only the model itself reaches the driver and the workers: tables of
-2^``BITS`` slots, into which n-grams are hashed, whatever the size of the corpus.
+are distinct before continuation counts are taken. Only the model itself reaches the driver and the workers: one row of
+counts for each distinct n-gram and context, by its 64-bit hash, so it grows with the distinct n-grams of the training words.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from .common import id_and_bytes, saved
 
 ORDER = 6
 DISCOUNT = 0.75
-BITS = 20
 RUNS = (16, 4)
 EXCESS = (1, 2, 3)
 FIGURES = ("mean", *(f"peak_{n}" for n in RUNS), *(f"excess_{n}" for n in EXCESS))
@@ -71,8 +70,30 @@ def before(h: np.ndarray) -> np.ndarray:
     return np.concatenate((h[:1], h[:-1]))
 
 
-def slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(29))) * SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+def mixed(h: np.ndarray) -> np.ndarray:
+    """One to one, with even leading bits."""
+    return (h ^ (h >> np.uint64(29))) * SPREAD
+
+
+def bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def rows_of(tables: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """The table row of each hash; the last row, of zeros, for those that the table does not have."""
+    keys, first, wanted = tables["keys"], tables["first"], mixed(h)
+    own = bucket(wanted, (len(first) - 1).bit_length() - 1)
+    at, end = first[own], first[own + 1]
+    out = np.full(len(h), len(keys), np.int32)
+    left = np.flatnonzero(at < end)
+    at, end, wanted = at[left], end[left], wanted[left]
+    while len(left):
+        there = keys[at]
+        hit = there == wanted
+        out[left[hit]] = at[hit]
+        go = (there < wanted) & (at + 1 < end)
+        left, at, end, wanted = left[go], at[go] + 1, end[go], wanted[go]
+    return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -97,8 +118,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")))
 
 
-def model(words: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
-    """The tables of both class models from (word, toxic, ordinary); at most 2^bits rows reach the driver."""
+def model(words: DataFrame) -> dict[str, np.ndarray]:
+    """The tables of both class models from (word, toxic, ordinary): sorted ``keys`` (mixed hashes), the ``first`` row of each
+    bucket of leading bits, and FIELDS by row with a last row of zeros. A row of each distinct n-gram and context reaches the driver."""
 
     def cut(batches):
         for batch in batches:
@@ -136,18 +158,14 @@ def model(words: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
         .union(rows(inner, "ctx", ctx_cont=F.col("cont"), ctx_kinds=1))
     )
 
-    def place(batches):
-        for batch in batches:
-            if batch.num_rows:
-                h = batch.column("h").to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot(h, bits)), *(batch.column(f) for f in FIELDS)], ["slot", *FIELDS])
-
-    schema = "slot long, " + ", ".join(f"{f} long" for f in FIELDS)
-    sums = parts.mapInArrow(place, schema).groupBy("slot").agg(*(F.sum(f).cast("float").alias(f) for f in FIELDS))
-    found = sums.withColumn("slot", F.col("slot").cast("int")).toArrow()
-    out, at = {f: np.zeros(1 << bits, np.float32) for f in FIELDS}, found.column("slot").to_numpy()
+    found = parts.groupBy("h").agg(*(F.sum(f).cast("float").alias(f) for f in FIELDS)).toArrow()
+    keys = mixed(found.column("h").to_numpy().view(np.uint64))
+    at = np.argsort(keys)
+    keys = keys[at]
+    bits = max(1, len(keys).bit_length())
+    out = {"keys": keys, "first": np.searchsorted(bucket(keys, bits), np.arange((1 << bits) + 1)).astype(np.int32)}
     for f in FIELDS:
-        out[f][at] = found.column(f).to_numpy()
+        out[f] = np.append(found.column(f).to_numpy()[at], np.float32(0))
     del found, at
     pa.default_memory_pool().release_unused()
     return out
@@ -161,10 +179,13 @@ def ratios(tables: dict[str, np.ndarray], words: list[bytes], symbols: int = 1 <
 
 
 def _ratios(tables: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
-    bits = len(tables["cont"]).bit_length() - 1
     hashes, place, word = grams(words)
     use = place > 0
-    slots = [slot(h, bits) for h in hashes]
+    slots = []
+    for m, h in enumerate(hashes):  # n-grams that lie within one word; the empty one is the same everywhere
+        inside = np.flatnonzero(place >= m - 1) if m else slice(None)
+        slots.append(np.full(len(h), len(tables["keys"]), np.int32))
+        slots[-1][inside] = rows_of(tables, h[inside] if m else h[:1])
     ctx = [before(s) for s in slots]
     # shared backoff, from single symbols up to what one symbol less than the full context gives
     shared = np.full(len(place), 1 / 258)
@@ -265,7 +286,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.nd
     return w[:-1] / scale, float(w[-1] - (w[:-1] * centre / scale).sum())
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int = BITS):
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
     """The share of toxic labels, and (model sent to the workers, weights, offset), None without labels of both classes."""
     own = id_and_bytes(docs, id_col, text_col)
     truth = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(fold("doc_id") != 0)
@@ -279,7 +300,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits:
     folded = words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary"))
     apart = all(has)
     # one model at a time on the driver: that of the sample goes before the final one comes
-    tables = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")) if apart else folded, bits)
+    tables = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")) if apart else folded)
     rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if apart else n))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
     sent = docs.sparkSession.sparkContext.broadcast(tables)
@@ -287,13 +308,13 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits:
     sent.destroy()
     if apart:
         del tables
-        tables = model(folded, bits)
+        tables = model(folded)
     x = np.column_stack([sample.column(c).to_numpy() for c in FIGURES])
     weight, offset = logistic(x, sample.column("toxic").to_numpy(zero_copy_only=False).astype(float))
     return None, (docs.sparkSession.sparkContext.broadcast(tables), weight, offset)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, FIGURES...), one row for each row of ``docs``.
 
     Labels (``doc_id``, ``toxic``) of rows whose fold is 0 are held out: neither counts nor the curve see them. The fold 4
@@ -303,7 +324,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     score is the share of toxic labels, 0 if there are none.
     """
     own = id_and_bytes(docs, id_col, text_col)
-    share, curve = fitted(docs, labels, id_col, text_col, bits)
+    share, curve = fitted(docs, labels, id_col, text_col)
     if curve is None:
         out = own.select("doc_id", F.lit(share).alias("score"), *(F.lit(0.0).alias(c) for c in FIGURES))
     else:

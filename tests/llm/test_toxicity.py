@@ -58,6 +58,38 @@ def test_model_against_dictionaries(spark):
     assert np.allclose(got, brute_ratio(seen, {key: counts[key] for key in own}), atol=1e-4)
 
 
+def test_counts_of_many_ngrams_stay_apart(spark):
+    rng = np.random.default_rng(3)
+    words = list({bytes(rng.integers(97, 123, 10).astype(np.uint8)) for _ in range(30_000)})
+    counts = {(int(k), w): 1 for k, w in zip(rng.integers(0, 2, len(words)), words, strict=True)}
+    full, every = Counter(), set()
+    for (kind, word) in counts:
+        s = (tx.START, *word, tx.END)
+        full.update((kind, s[max(0, i - 5) : i + 1]) for i in range(1, len(s)))
+        every.update(s[i - m + 1 : i + 1] for i in range(len(s)) for m in range(2, 7) if i >= m - 1)
+    cont = Counter(g[1:] for g in every)
+    sums, kinds = Counter(), Counter()
+    for table in (full, cont):
+        for g, n in table.items():
+            c = (g[0], g[1][:-1]) if table is full else g[:-1]
+            sums[c] += n
+            kinds[c] += 1
+
+    def smooth(g, c, table, below):
+        return (max(table[g] - tx.DISCOUNT, 0) + tx.DISCOUNT * kinds[c] * below) / sums[c] if sums[c] else below
+
+    def shared(g):
+        return smooth(g, g[:-1], cont, shared(g[1:])) if g else 1 / 258
+
+    seen, want = [*words[:200], *(w[::-1] for w in words[:200])], []
+    for word in seen:
+        s = (tx.START, *word, tx.END)
+        ends = [s[max(0, i - 5) : i + 1] for i in range(1, len(s))]
+        want.append(sum(np.log(smooth((1, g), (1, g[:-1]), full, shared(g[1:])) / smooth((0, g), (0, g[:-1]), full, shared(g[1:]))) for g in ends))
+    table = spark.createDataFrame([(bytearray(w), k, 1 - k) for k, w in counts], "word binary, toxic long, ordinary long")
+    assert np.allclose(tx.ratios(tx.model(table), seen), want, atol=1e-3)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
