@@ -1,7 +1,7 @@
 """Personal numbers, dates and addresses replaced by format-preserving pseudonyms. DataFrame operations only.
 
-One pattern finds candidates, and each kind has a check of its own (Luhn sum, modulo 97, calendar, ranges); what fails stays
-as it is. A valid one is permuted within its format by an eight-round Feistel network keyed by a secret: digits stay digits,
+One pattern finds candidates at every place, and each kind has a check of its own (Luhn sum, modulo 97, calendar, ranges). Cards and
+IBANs that fail are tried without their last groups, and candidates that begin inside after them; what fails stays as it is. A valid one is permuted within its format by an eight-round Feistel network keyed by a secret: digits stay digits,
 letters stay letters of their case, separators stay, check digits are made anew. The permutation depends on key and kind
 only, so equal values have equal pseudonyms in all documents, and different values different ones.
 
@@ -32,6 +32,12 @@ FORMATS = {
 }
 KINDS = tuple(FORMATS)
 ANY = "|".join(FORMATS.values())
+# Lengths of IBANs by country (the registry of ISO 13616), for those that are followed by other groups.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def _hex(*parts: Column) -> Column:
@@ -199,19 +205,52 @@ def _ipv4(m: Column, key: Column) -> Column:
 _MAKE = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "phone": _phone, "card": _card}
 
 
+def _valid_iban(s: Column) -> Column:
+    return _modulo_97(F.concat(s.substr(F.lit(5), F.length(s)), s.substr(1, 4))) == 1
+
+
+def _shorter(m: Column, name: str) -> Column:
+    """The longest valid part of a card or IBAN that ends before one of its separators; null if there is none."""
+    ends = F.filter(F.sequence(F.length(m) - 1, F.lit(1), F.lit(-1)), lambda i: m.substr(i + 1, F.lit(1)).isin(" ", "-"))
+    parts = F.transform(ends, lambda i: m.substr(F.lit(1), i))
+    if name == "card":
+        return F.get(F.filter(parts, lambda p: let(_digits(p), lambda d: (F.length(d) >= 13) & (_luhn(d) == 0))), F.lit(0))
+    size = F.lit(None).cast("int")
+    for n, countries in IBAN_SIZES.items():
+        size = F.when(m.substr(1, 2).isin(*countries.split()), F.lit(n)).otherwise(size)
+    return F.get(F.filter(parts, lambda p: let(F.translate(p, " ", ""), lambda s: (F.length(s) == size) & _valid_iban(s))), F.lit(0))
+
+
 def _found(m: Column, key: Column) -> Column:
-    """struct(kind, value) of a candidate; kind null where no check holds, with the value as it was."""
+    """struct(kind, value, n, ends) of a candidate: n the letters that value stands for, ends whether other candidates begin after
+    it only; kind null where no check holds."""
     kind = F.lit(None).cast("string")
     for name in reversed(KINDS):
         kind = F.when(m.rlike(f"^(?:{FORMATS[name]})$"), F.lit(name)).otherwise(kind)
 
-    def made(k: Column) -> Column:
+    card_holds = _luhn(_digits(m)) == 0
+    iban_holds = let(F.translate(m, " ", ""), _valid_iban)
+    whole = lambda k: F.when((k == "card") & ~card_holds, F.coalesce(_shorter(m, "card"), m)).when((k == "iban") & ~iban_holds, F.coalesce(_shorter(m, "iban"), m)).otherwise(m)
+
+    def result(k: Column, m: Column) -> Column:
         value = F.lit(None).cast("string")
         for name in KINDS:
             value = F.when(k == name, _MAKE[name](m, key)).otherwise(value)
-        return let(value, lambda v: F.struct(F.when(v.isNotNull(), k).alias("kind"), F.coalesce(v, m).alias("value")))
+        return let(value, lambda v: F.struct(F.when(v.isNotNull(), k).alias("kind"), F.coalesce(v, m).alias("value"), F.length(m).alias("n"), (v.isNotNull() | ~k.isin("card", "iban")).alias("ends")))
+
+    return let(kind, lambda k: let(whole(k), lambda part: result(k, part)))
+
+
+def _taken(found: Column, pieces: Column) -> Column:
+    """For each candidate, in order: whether its value is put in, and how many letters of its piece go, for it or for an earlier one."""
+    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<struct<own:boolean,gone:int>>").alias("taken"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = (acc["left"] <= 0) & x["f"]["ends"]
+        gone = F.when(own, x["f"]["n"]).otherwise(F.greatest(acc["left"], F.lit(0)))
+        return let(F.struct(own.alias("own"), gone.alias("gone")), lambda t: F.struct((t["gone"] - F.length(x["p"])).alias("left"), F.concat(acc["taken"], F.array(t)).alias("taken")))
 
-    return let(kind, made)
+    return F.aggregate(F.zip_with(found, pieces, lambda f, p: F.struct(f.alias("f"), p.alias("p"))), start, step, lambda acc: acc["taken"])
 
 
 def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
@@ -221,11 +260,18 @@ def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text") -> DataF
     ``pii`` that ``docs`` has is replaced. ``secret`` keys the permutations; without it pseudonyms cannot be undone.
     """
     text, key = F.col(f"`{text_col}`"), F.lit(secret)
-    none = F.array().cast("array<struct<kind:string,value:string>>")
-    matches = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _found(m, key))).otherwise(none)
-    df = docs.withColumn("_found", F.coalesce(matches, none))
-    parts = F.flatten(F.zip_with(F.split(text, ANY), F.col("_found"), lambda p, f: F.array(p, f["value"])))
-    return df.withColumn(text_col, F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)).withColumn("pii", F.filter(F.transform("_found", lambda f: f["kind"]), lambda k: k.isNotNull())).drop("_found")
+    none = F.array().cast("array<struct<kind:string,value:string,n:int,ends:boolean>>")
+    body = F.concat(F.lit("\n"), text)  # a split before each candidate has one piece more than there are candidates
+    matches = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(body, F.lit(f"(?=({ANY}))"), F.lit(1)), lambda m: _found(m, key))).otherwise(none)
+    df = docs.withColumn("_found", F.coalesce(matches, none)).withColumn("_pieces", F.when(F.size("_found") > 0, F.split(body, f"(?={ANY})")))
+    df = df.withColumn("_taken", _taken(F.col("_found"), F.slice("_pieces", F.lit(2), F.size("_found"))))
+    rest = F.zip_with(F.slice("_pieces", F.lit(2), F.size("_found")), "_taken", lambda p, t: p.substr(t["gone"] + 1, F.length(p)))
+    values = F.zip_with("_found", "_taken", lambda f, t: F.when(t["own"], f["value"]).otherwise(F.lit("")))
+    parts = F.concat(F.array(F.get("_pieces", F.lit(0))), F.flatten(F.zip_with(values, rest, lambda v, r: F.array(v, r))))
+    kinds = F.filter(F.zip_with("_found", "_taken", lambda f, t: F.when(t["own"], f["kind"])), lambda k: k.isNotNull())
+    new = F.array_join(parts, "")
+    out = df.withColumn(text_col, F.when(F.size("_found") > 0, new.substr(F.lit(2), F.length(new))).otherwise(text))
+    return out.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found", "_pieces", "_taken")
 
 
 def _count(array: str, value: str) -> Column:

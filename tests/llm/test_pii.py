@@ -129,6 +129,16 @@ def test_against_brute_force(spark, make_docs, odd_rows, sf):
     assert pii.report(make_docs([]), "k").count() == 0
 
 
+def test_valid_parts_of_candidates(spark, make_docs):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = {f"card {card} 12/27": card, "4111111111111111 123": "4111111111111111", f"order 7 {card}": card, f"12 35 {card} 12/27": card, f"{iban} BY": iban, f"x {iban} 12": iban, f"7 {card} 9 {iban} OK": card}
+    got = {r["doc_id"]: r for r in pii.report(make_docs(list(enumerate(texts))), "k").collect()}
+    for i, (text, value) in enumerate(texts.items()):
+        want = text.replace(value, one("iban" if value == iban else "card", value, "k"))
+        assert got[i]["text"] == (want.replace(iban, one("iban", iban, "k")) if i == 6 else want)
+        assert got[i]["n_card"] + got[i]["n_iban"] == 1 + (i == 6)
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
