@@ -15,96 +15,142 @@ entries and runs over all checkpoints of a block side by side.
 
 from __future__ import annotations
 
-import array
 import itertools
 import os
 import struct
+import sys
+import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, saved, shared_path
+from .common import ROW_GROUP, dropped, saved, shared_path
 
 MAX_LENGTH = 16
 STRIDE = 64
 BLOCK_TOKENS = 1 << 16
 SHARD_TOKENS = 1 << 24
-#: Words whose ids a worker remembers, some 350 MB at most; it forgets them all beyond that.
-REMEMBERED = 1 << 21
+#: Bytes of words and their ids that a worker remembers.
+REMEMBERED = 16 << 20
+#: Words that are tokenised together, and bytes of text that are worked on at a time (or one text).
+TOGETHER, PART_BYTES = 4096, 4 << 20
+#: Small letters of Latin-1, which normalising leaves as they are.
+SMALL = "a-zß-öø-ÿ"
 HEAD = "<4sIIIQ"
 MAGIC = b"QTK1"
 
 
+def worker_state():
+    """A module of this library's own in each worker process: what lies there outlives a task, unlike the globals of functions that travel by value."""
+    if "_quern_worker_state" not in sys.modules:
+        sys.modules["_quern_worker_state"] = types.ModuleType("_quern_worker_state")
+    return sys.modules["_quern_worker_state"].__dict__
+
+
+def forget() -> None:
+    """Free what an encoding stage left behind in this worker."""
+    worker_state().clear()
+
+
 class WordIds:
-    """Ids of texts by the tokenizers library, one call for each distinct word.
+    """Ids of texts by the tokenizers library, which sees each distinct word once; all else runs on Arrow and NumPy arrays.
 
-    Only for tokenizers that cut at ASCII white space and drop it, normalise by NFC and to lower case, and keep letters apart from
-    marks, as ``word_bpe_49k.json`` does: the ids of a text are then those of its words in a row. Words of lower-case Latin-1
-    letters are what normalising and cutting would leave them, so they go straight to the merges; marks after them are
-    tokenised apart. All other words take the whole way.
+    Only for tokenizers that cut at ASCII white space and drop it, normalise by NFC and to lower case, keep letters apart from
+    marks and mark a word's last id, as ``word_bpe_49k.json`` does: the ids of a text are then those of its words in a row, and
+    marks behind a letter or digit at a word's end are a word of their own. Words of plain small letters are what normalising
+    and cutting would leave them, so they go straight to the merges, many at a time. All other words take the whole way.
 
-    Worker processes outlive tasks, and so does what they remember, up to ``REMEMBERED`` words.
+    Worker processes outlive tasks, and so do the words they remember, with their ids: beyond ``REMEMBERED`` bytes only the
+    words of the texts at hand stay.
     """
 
-    def __init__(self, path: str, kind: str) -> None:
+    def __init__(self, path: str, kind: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        held = tokenizers.__dict__.setdefault("_quern_words", {})  # this module may travel by value, that one stays
-        if (path, kind) not in held:
-            merges = tokenizers.Tokenizer.from_file(path)
-            merges.normalizer = tokenizers.normalizers.Sequence([])
-            merges.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            held[path, kind] = tokenizers.Tokenizer.from_file(path), merges, {}
-        (self.tokenizer, self.merges, self.known), self.kind = held[path, kind], kind
-
-    def _learn(self, words: list[str], tokenizer) -> None:
-        for word, found in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = array.array("H" if self.kind == "<u2" else "I", found.ids).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        known, plain, rest, tails = self.known, set(), [], {}
-        for word in words:
-            core = word.rstrip(".,;:!?")
-            if core.isalpha() and core.islower() and latin(core):
-                if core not in known:
-                    plain.add(core)
-                if core != word:
-                    tails[word] = core
-            else:
-                rest.append(word)
-        self._learn(rest, self.tokenizer)
-        self._learn(list(plain), self.merges)
-        self._learn(list({w[len(c) :] for w, c in tails.items()}), self.tokenizer)
-        for word, core in tails.items():
-            known[word] = known[core] + known[word[len(core) :]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if "<|" not in t and latin(t):
-                t = t.lower()
-            split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" "))
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(itertools.chain.from_iterable(split)))
-        self.learn(new)
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
-
-
-def latin(text: str) -> bool:
-    """Whether all is in Latin-1, where NFC changes nothing and lower case looks at one character at a time."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+        held = worker_state()
+        if (path, kind, end_id) not in held:
+            whole = tokenizers.Tokenizer.from_file(path)
+            merges = tokenizers.Tokenizer(whole.model)
+            cut = tokenizers.pre_tokenizers
+            merges.pre_tokenizer = cut.Sequence([cut.WhitespaceSplit(), cut.ByteLevel(add_prefix_space=False, use_regex=False)])
+            last = np.zeros(whole.get_vocab_size(), bool)
+            last[[i for token, i in whole.get_vocab().items() if token.endswith(whole.model.end_of_word_suffix)]] = True
+            # the first word stands for the end of a text: none of its letters is ever met
+            held[path, kind, end_id] = {"whole": whole, "merges": merges, "last": last, "words": pa.array([" "]), "n": np.ones(1, np.int64), "ids": np.array([end_id], kind)}
+        self.held, self.kind = held[path, kind, end_id], kind
+
+    def _whole(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.held["whole"].encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each word has, all ids)."""
+        ids = np.array(self.held["merges"].encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        return np.diff(np.flatnonzero(self.held["last"][ids]) + 1, prepend=0), ids
+
+    def learn(self, words: pa.Array) -> None:
+        """Put words that are not known behind those that are."""
+        plain = pc.match_substring_regex(words, f"^[{SMALL}]+$")
+        short, rest = words.filter(plain), words.filter(pc.invert(plain))
+        parts = [self._plain(short.slice(at, TOGETHER).to_pylist()) for at in range(0, len(short), TOGETHER)]
+        for at in range(0, len(rest), TOGETHER):
+            found = self._whole(rest.slice(at, TOGETHER).to_pylist())
+            parts.append((np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)))
+        held = self.held
+        held["words"] = pa.concat_arrays([held["words"], short, rest])
+        held["n"] = np.concatenate([held["n"], *(n for n, _ in parts)])
+        held["ids"] = np.concatenate([held["ids"], *(ids for _, ids in parts)])
+
+    def keep(self, which: np.ndarray) -> None:
+        """Forget all words but those numbered ``which``, in that order after the first."""
+        held, which = self.held, np.concatenate(([0], which))
+        held["ids"] = gathered(held["ids"], held["n"], which)
+        held["words"], held["n"] = held["words"].take(pa.array(which)), held["n"][which]
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text and the end's as little-endian bytes."""
+        held = self.held
+        split = pc.ascii_split_whitespace(spaced(texts))
+        met = split.flatten().dictionary_encode()
+        if held["words"].nbytes + held["n"].nbytes + held["ids"].nbytes > REMEMBERED:
+            there = pc.index_in(met.dictionary, held["words"])
+            self.keep(there.drop_null().to_numpy(zero_copy_only=False))
+        there = pc.index_in(met.dictionary, held["words"])
+        if there.null_count:
+            first = len(held["words"])
+            new = met.dictionary.filter(pc.is_null(there))
+            self.learn(new)
+            # learned words are put in another order
+            place = pc.index_in(new, held["words"].slice(first)).to_numpy(zero_copy_only=False) + first
+            where = np.flatnonzero(pc.is_null(there).to_numpy(zero_copy_only=False))
+            at = there.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at[where] = place
+        else:
+            at = there.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        words = np.insert(at[met.indices.to_numpy(zero_copy_only=False)], ends, 0)
+        size = np.cumsum(held["n"][words])[ends + np.arange(len(ends))] * held["ids"].itemsize
+        offsets = np.concatenate(([0], size)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(gathered(held["ids"], held["n"], words).tobytes())])
+
+
+def gathered(ids: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The ids of the words numbered ``words`` in a row; word w has n[w] ids, behind those of the words before it."""
+    size = n[words]
+    return ids[np.repeat((np.cumsum(n) - n)[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """``texts`` in lower case where that is all that normalising would do to them, and with a space before marks at the end of a word."""
+    texts = texts.fill_null("")
+    low = pc.invert(pc.match_substring_regex(texts, r"<\||[^\x00-\x{FF}]"))
+    texts = pc.if_else(low, pc.utf8_lower(texts), texts)
+    return pc.replace_substring_regex(texts, rf"([{SMALL}0-9])([.,;:!?]+[\t\n\v\f\r ])", r"\1 \2")
 
 
 def id_type(vocabulary: int) -> str:
@@ -115,11 +161,15 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str, id_c
     """(doc_id, ids): little-endian ids of each text, with ``end_id`` after them. A null text counts as empty."""
 
     def run(batches):
-        words, end = WordIds(tokenizer_path, kind), np.array([end_id], kind).tobytes()
+        words = WordIds(tokenizer_path, kind, end_id)
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                ids = [x + end for x in words([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(size) - size) // PART_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    own = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), words(own.column("text")).cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -128,6 +178,7 @@ def counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs; at most one entry for each id of the vocabulary reaches the driver."""
 
     def run(batches):
+        forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
             own = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=len(total))
@@ -258,6 +309,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabula
     spark.createDataFrame(sorted(lengths.items()), "id long, length int").coalesce(1).write.parquet(f"{path}/code")
 
     def run(batches):
+        forget()
         code, shard = Code(lengths), TaskContext.get().partitionId()
         block = before = held = 0
         names, parts = [], []
@@ -283,7 +335,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabula
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(found.values()) // SHARD_TOKENS + 1)
     key = [F.col("doc_id"), F.xxhash64("ids")]
     laid = tokens.repartitionByRange(shards, *key).sortWithinPartitions(*key, "ids")
-    laid.mapInArrow(run, "shard int, block int, before long, n_docs long, n_tokens long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    laid.mapInArrow(run, "shard int, block int, before long, n_docs long, n_tokens long, data binary").write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
     dropped(spark, held_at)
 
 
