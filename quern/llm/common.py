@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts UTF-8 at the same places.
@@ -101,11 +101,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return found["n"] <= rows and (found["bytes"] or 0) <= size
 
 
-def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id long, text binary): UTF-8 bytes, empty for null. Other columns of ``docs``, whatever their names, are left behind."""
+def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(doc_id long, text binary, more): UTF-8 bytes, empty for null. Other columns of ``docs``, whatever their names, are left behind."""
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"),
+        *more,
     )
 
 

@@ -24,16 +24,18 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, map_rows, saved
+from .common import Scratch, fresh, id_and_bytes, map_rows, saved
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 #: Buckets above this many distinct fingerprints are linked through words one bit away instead of pairs.
 DENSE = 32
+#: A fingerprint of more than 1 row in so many is hot; there are fewer than that many, and they are joined by broadcast.
+HOT_PART = 1000
 #: Shingles whose bits are counted at a time, so that a very long text needs no more memory for them.
 CHUNK = 1 << 16
 
@@ -62,15 +64,20 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long. A null text counts as empty."""
+    """(doc_id, fp, row_hash): one row for each row of ``docs``; fp is the fingerprint as a signed long, row_hash a hash of all columns. A null text counts as empty."""
 
     def make():
-        def work(ids, texts):
-            return {"doc_id": ids, "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
+        def work(ids, texts, hashes):
+            return {"doc_id": ids, "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), "row_hash": hashes}
 
         return work
 
-    return map_rows(id_and_bytes(docs, id_col, text_col), make, "doc_id long, fp long")
+    return map_rows(id_and_bytes(docs, id_col, text_col, row_hash(docs).alias("row_hash")), make, "doc_id long, fp long, row_hash long")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; what cannot be hashed, maps, is taken as text."""
+    return F.xxhash64(*(F.col(f"`{c}`").cast("string") if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes))
 
 
 class Golay:
@@ -139,19 +146,20 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """
     keys = fuzzy_keys(distinct)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(keys.join(sizes, "key"), "simhash_buckets")
-    small = shared.where(F.col("n") <= dense).select("key", "fp")
-    pairs = (
-        small.withColumnRenamed("fp", "a")
-        .join(small.withColumnRenamed("fp", "b"), "key")
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
-        .select("a", "b")
-    )
-    crowded = shared.where(F.col("n") > dense).select("fp").distinct()
-    near = crowded.select("fp", F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))).alias("bit"))
-    met = near.groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("at")).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.union(stars).distinct()
+    with Scratch(distinct.sparkSession) as work:
+        shared = work.saved(keys.join(sizes, "key"), "buckets")
+        small = shared.where(F.col("n") <= dense).select("key", "fp")
+        pairs = (
+            small.withColumnRenamed("fp", "a")
+            .join(small.withColumnRenamed("fp", "b"), "key")
+            .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
+            .select("a", "b")
+        )
+        crowded = shared.where(F.col("n") > dense).select("fp").distinct()
+        near = crowded.select("fp", F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))).alias("bit"))
+        met = near.groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("at")).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+        stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
+        return saved(pairs.union(stars).distinct(), "simhash_links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,48 +168,71 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star steps, each written to the shared folder: a step joins every node to the smallest
     of its neighbours, so the number of rounds grows with the logarithm of the longest path and edges never multiply.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components_0")
-    step = 0
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        step += 1
-        after = saved(small, f"components_{step}")
-        # every node hangs on a root, and no root hangs on another: what the next round would leave as it is
-        done = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and after.alias("x").join(after.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").isEmpty()
-        now = after
-        if done:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with Scratch(edges.sparkSession) as work:
+        now = work.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "step_0")
+        step, done = 0, now.isEmpty()
+        while not done:
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = (
+                large.join(least, "u")
+                .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+                .select("e.u", "e.v")
+                .where("u <> v")
+                .distinct()
+            )
+            step += 1
+            now = work.saved(small, f"step_{step}")
+            work.drop(f"step_{step - 1}")
+            # every node hangs on a root, and no root hangs on another: what the next round would leave as it is
+            done = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and now.alias("x").join(now.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").isEmpty()
+        found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return saved(found, "simhash_components")
+
+
+def _named(fps: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of ``fps`` with the columns of ``values``, one row for each fp with its number of rows n; hot fingerprints apart."""
+    hot = values.where(F.col("n") * HOT_PART > fps.count()).drop("n")  # fewer than HOT_PART rows
+    cold = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(values.drop("n"), "fp")
+    return cold.unionByName(fps.join(F.broadcast(hot), "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, n_links), one row for each row of ``docs``.
+    """(doc_id, fp, component_id, n_links, row_hash, chosen), one row for each row of ``docs``.
 
     component_id is the smallest id among the documents that can be reached over links; n_links counts the distinct
-    fingerprints of the component besides its own. Null texts are empty and have fingerprint 0; rows with a null id keep
-    it, and count for a component only where no other id does. Repeated rows stay; an empty table gives an empty result.
+    fingerprints of the component besides its own. chosen marks the row of a component to keep: the one with the smallest id,
+    of several with that id, or without any id, the one with the smallest row_hash; rows that are equal in all columns are
+    marked alike. Null texts are empty and have fingerprint 0; rows with a null id keep it, and count for a component only
+    where no other id does. Repeated rows stay; an empty table gives an empty result.
     """
     fps = saved(fingerprints(docs, id_col, text_col), "simhash_fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    best = F.min(F.struct(F.isnull("doc_id").alias("no"), F.col("doc_id").alias("id"), F.col("row_hash").alias("h")))
+    distinct = fps.groupBy("fp").agg(best.alias("first"), F.count("*").alias("n"))
     found = components(links(distinct))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = saved(rooted, "simhash_roots")
-    whole = rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count("*") - 1).alias("n_links"))
-    named = rooted.join(whole, "root").select("fp", "component_id", "n_links")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
+    whole = rooted.groupBy("root").agg(F.min("first").alias("first"), (F.count("*") - 1).alias("n_links"))
+    values = rooted.select("fp", "root", "n").join(whole, "root").select("fp", "n", F.col("first.id").alias("component_id"), "n_links", F.col("first.h").alias("h"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_hash") == F.col("h"))
+    return _named(fps, values).select("doc_id", "fp", "component_id", "n_links", "row_hash", chosen.alias("chosen"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Rows without an id stay as they are."""
+    """``docs`` with one row of each component, the one that ``near_duplicates`` chooses; of rows equal in all columns one stays."""
     found = near_duplicates(docs, id_col, text_col)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(lost, id_col, "left_anti")
+    key = ["doc_id", "row_hash"]
+    names = {k: fresh(k, docs.columns) for k in key}
+    # what is to go, and what is chosen but there more than once; both by id and hash, never by id alone
+    slim = saved(found.groupBy(*key, "chosen").agg(F.count("*").alias("n")).select(F.coalesce("doc_id", F.lit(0)).alias(names["doc_id"]), F.col("row_hash").alias(names["row_hash"]), "chosen", F.col("n").alias("copies")).where("not chosen or copies > 1"), "simhash_marks")
+    keyed = docs.withColumns({names["doc_id"]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), names["row_hash"]: row_hash(docs)})
+    on = list(names.values())
+    straight = keyed.join(slim.select(*on), on, "left_anti").drop(*on)
+    tied = slim.where("chosen").select(*on)
+    if tied.isEmpty():
+        return straight
+    whole = [c for c in docs.columns]
+    one = keyed.join(tied, on, "left_semi").groupBy(*on).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in whole))).alias("d"))
+    return straight.unionByName(one.select(*(F.col("d").getField(c).alias(c) for c in whole)))

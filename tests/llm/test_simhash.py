@@ -79,5 +79,9 @@ def test_keep_one_and_empty(spark, make_docs):
     docs = make_docs([(3, "a b c d"), (1, "a b c d"), (2, "p q r s t u v w"), (None, "a b c d"), (5, None), (4, "")])
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4"]
+    # an id shared by a copy and a text of its own, repeated rows, a group without ids
+    docs = make_docs([(1, "a b c d"), (5, "a b c d"), (5, "p q r s t u v w"), (7, "k l m n o"), (7, "k l m n o"), (None, "x y z x w"), (None, "x y z x w"), (None, None), (8, "")])
+    rows = sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.keep_one(docs).collect())
+    assert rows == [("1", "a b c d"), ("5", "p q r s t u v w"), ("7", "k l m n o"), ("8", ""), ("None", "x y z x w")]
     assert simhash.near_duplicates(make_docs([])).count() == 0
