@@ -4,13 +4,13 @@ Base kinds are found by pattern alone. The method adds kinds that must decode an
 
 * ``jwt``: dot-separated base64url parts whose first is a JSON object that names an algorithm and whose second is a JSON
   object (signed token), with a signature unless the algorithm is "none";
-* ``ssh``: base64 that decodes to a key in the wire format of SSH: a known key name and nested lengths that add up, or
-  the private-key container with its magic;
-* ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE of exactly the candidate's length whose nested lengths add up and
-  that has an INTEGER or an object identifier inside, as keys have; armour lines are not needed.
+* ``ssh``: base64 or hex that decodes to the private-key container of OpenSSH: cipher, derivation, options, number of keys, public
+  keys of known types with all their fields, and a private part whose length and check numbers hold, to the last byte;
+* ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths add up and that has the shape of a private key: PKCS#1,
+  DSA, SEC 1, PKCS#8 or encrypted PKCS#8. Public keys and certificates are no secrets. Armour lines are not needed.
 
 Base64 may run over lines, also indented ones and escaped line ends, as in armoured keys, YAML and JSON. Keys may stand behind and
-before other letters: they begin wherever their first bytes can, and end where their outer lengths say; SSH keys end with a line. Spans are in code points, end exclusive.
+before other letters: they begin wherever their first bytes can, and end where their lengths say. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -41,13 +41,14 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)(?=\.([A-Za-z0-9_-]{4
 BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*")
 # One pass for each alphabet: a key in one of them has pieces that are runs in the other.
 ENCODED = tuple(re.compile(rf"[{letters}]{{24,}}+(?:{BREAK.pattern}[{letters}]++)*+={{0,2}}") for letters in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
-# What 0x30 and a length, the length of a name of SSH, and the magic of SSH begin with in base64.
-STARTS = re.compile(r"M(?=[B-H]|I[E-T])|A(?=AAA[A-Z])|b(?=3BlbnNzaC1rZXktdjEA)")
+# What 0x30 and a length, and the magic of the container begin with in base64.
+STARTS = re.compile(r"M(?=[B-H]|I[E-T])|b(?=3BlbnNzaC1rZXktdjEA)")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 # Names of SSH key types and the fields of their public keys, the name included.
 SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 SSH_MAGIC = b"openssh-key-v1\0"
-SEQUENCE, SET, INTEGER, IDENTIFIER = 0x30, 0x31, 0x02, 0x06
+# Tags of ASN.1.
+SEQUENCE, INTEGER, IDENTIFIER, OCTETS, BITS, FIRST, SECOND, SECOND_PLAIN = 0x30, 0x02, 0x06, 0x04, 0x03, 0xA0, 0xA1, 0x81
 MAX_NESTING = 16
 
 
@@ -83,30 +84,80 @@ def token_start(head: str, body: str, signature: str) -> int | None:
     return None
 
 
-def _elements(raw: bytes, at: int, end: int, depth: int, tags: set[int]) -> bool:
-    """Whether raw[at:end] is a row of ASN.1 elements with definite lengths, to the last byte."""
+def _elements(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple] | None:
+    """(tag, value, elements inside) of the ASN.1 elements that raw[at:end] is to the last byte; None if it is not."""
+    out = []
     while at < end:
         if at + 2 > end or depth > MAX_NESTING:
-            return False
+            return None
         tag, n = raw[at], raw[at + 1]
         at += 2
         if n >= 0x80:
             size = n & 0x7F
             if not 1 <= size <= 4 or at + size > end:
-                return False
+                return None
             n, at = int.from_bytes(raw[at : at + size], "big"), at + size
         if at + n > end:
-            return False
-        tags.add(tag)
-        if tag & 0x20 and not _elements(raw, at, at + n, depth + 1, tags):
-            return False
+            return None
+        inside = _elements(raw, at, at + n, depth + 1) if tag & 0x20 else []
+        if inside is None:
+            return None
+        out.append((tag, raw[at : at + n], inside))
         at += n
-    return at == end
+    return out
 
 
 def is_der_key(raw: bytes) -> bool:
-    tags: set[int] = set()
-    return len(raw) >= 24 and raw[0] == SEQUENCE and _elements(raw, 0, len(raw), 0, tags) and bool(tags & {INTEGER, IDENTIFIER})
+    """Whether ``raw`` is one SEQUENCE with the elements of a private key."""
+    whole = _elements(raw, 0, len(raw)) if raw[:1] == bytes([SEQUENCE]) else None
+    if not whole or len(whole) != 1:
+        return False
+    parts = whole[0][2]
+    tags = [tag for tag, _, _ in parts]
+    named = lambda part: part[0] == SEQUENCE and [t for t, _, _ in part[2][:1]] == [IDENTIFIER]
+    if len(parts) == 2:
+        return named(parts[0]) and tags[1] == OCTETS and len(parts[1][1]) >= 16  # encrypted PKCS#8
+    if len(parts) < 2 or tags[0] != INTEGER or parts[0][1] not in (b"\0", b"\1"):
+        return False
+    if tags == [INTEGER] * 9 or tags == [INTEGER] * 9 + [SEQUENCE] or tags == [INTEGER] * 6:
+        return len(raw) >= 64  # PKCS#1, DSA
+    if len(parts) >= 3 and named(parts[1]) and tags[2] == OCTETS:
+        return set(tags[3:]) <= {FIRST, SECOND, SECOND_PLAIN}  # PKCS#8
+    return tags[1] == OCTETS and len(parts[1][1]) >= 20 and tags[2:] in ([FIRST], [SECOND], [FIRST, SECOND])  # SEC 1
+
+
+def _fields(raw: bytes, at: int, count: int) -> tuple[list[bytes], int] | None:
+    """``count`` strings, each behind its length, and where they end."""
+    out = []
+    for _ in range(count):
+        n = int.from_bytes(raw[at : at + 4], "big")
+        if at + 4 + n > len(raw):
+            return None
+        out.append(raw[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out, at
+
+
+def is_ssh_key(raw: bytes) -> bool:
+    """Whether ``raw`` is a container of private keys to the last byte."""
+    if not raw.startswith(SSH_MAGIC) or not (head := _fields(raw, len(SSH_MAGIC), 3)):
+        return False
+    (cipher, derivation, options), at = head
+    keys = int.from_bytes(raw[at : at + 4], "big")
+    # a locked container names a derivation with options, an open one neither
+    if not cipher or not derivation or not 1 <= keys <= len(raw) // 8 or (cipher == b"none") != (derivation == b"none") or (derivation == b"none") != (not options):
+        return False
+    if not (rest := _fields(raw, at + 4, keys + 1)):
+        return False
+    (*public, private), end = rest
+    for key in public:
+        name = _fields(key, 0, 1)
+        found = _fields(key, 0, SSH_FIELDS[name[0][0]]) if name and name[0][0] in SSH_FIELDS else None
+        if not found or found[1] != len(key):
+            return False
+    open_ = cipher == b"none"
+    # the tag of an authenticated cipher may follow the private part
+    return (end == len(raw) or (not open_ and len(raw) - end == 16)) and len(private) >= 16 and len(private) % 8 == 0 and (not open_ or private[:4] == private[4:8])
 
 
 def _part(letters: str, at: int, i: int, n: int) -> bytes:
@@ -117,26 +168,17 @@ def _part(letters: str, at: int, i: int, n: int) -> bytes:
 
 
 def _ssh_size(letters: str, at: int) -> int | None:
-    """Bytes of an SSH key: its name states the number of fields, the container (cipher, derivation, options, keys, private part) that of keys."""
-
-    def number(i: int) -> int | None:
-        raw = _part(letters, at, i, 4)
-        return int.from_bytes(raw, "big") if len(raw) == 4 else None
-
-    i, left, inside = 0, 0, _part(letters, at, 0, len(SSH_MAGIC)) == SSH_MAGIC
-    if inside:
-        i, left = len(SSH_MAGIC), 3
-    elif (n := number(0)) and n <= max(map(len, SSH_FIELDS)):
-        left = SSH_FIELDS.get(_part(letters, at, 4, n), 0)
+    """Bytes of the container that begins there, by its lengths: cipher, derivation, options, number of keys, keys, private part."""
+    i, left, counted = len(SSH_MAGIC), 3, False
     while left and 4 * i < 3 * (len(letters) - at):
-        if (n := number(i)) is None:
+        raw = _part(letters, at, i, 4)
+        if len(raw) < 4:
             return None
-        i, left = i + 4 + n, left - 1
-        if inside and not left:
-            if (n := number(i)) is None:
-                return None
-            i, left, inside = i + 4, n + 1, False
-    return None if left else i or None
+        i, left = i + 4 + int.from_bytes(raw, "big"), left - 1
+        if not left and not counted:
+            raw, counted = _part(letters, at, i, 4), True
+            i, left = i + 4, int.from_bytes(raw, "big") + 1
+    return None if left or not counted else i
 
 
 def _der_size(letters: str, at: int) -> int | None:
@@ -150,16 +192,6 @@ def _der_size(letters: str, at: int) -> int | None:
     return 2 + size + int.from_bytes(raw[2 : 2 + size], "big") if 1 <= size <= 4 else None
 
 
-def _like_key(raw: bytes) -> bool:
-    """Whether a SEQUENCE begins as keys do and has more than one element; asked behind other letters, where chance has more tries."""
-    at = 2 if raw[1] < 0x80 else 2 + (raw[1] & 0x7F)
-    n, own = raw[at + 1], 2
-    if n >= 0x80:
-        own += n & 0x7F
-        n = int.from_bytes(raw[at + 2 : at + own], "big")
-    return raw[at] in (INTEGER, IDENTIFIER, SEQUENCE) and at + own + n < len(raw)
-
-
 def encoded_keys(run: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the keys in a run of base64 letters with line breaks and padding."""
     if not STARTS.search(run) and not BREAK.search(run):
@@ -169,7 +201,7 @@ def encoded_keys(run: str) -> list[tuple[str, int, int]]:
         parts.append(body[at : m.start() if m else len(body)])
         lines.append((n, at))  # where a line begins in the letters and in the run
         n, at = n + len(parts[-1]), m.end() if m else at
-    letters, ends = "".join(parts), {a for a, _ in lines} | {n}
+    letters = "".join(parts)
 
     def place(i: int, end: bool = False) -> int:
         if end and i == n:
@@ -182,17 +214,10 @@ def encoded_keys(run: str) -> list[tuple[str, int, int]]:
         at = m.start()
         if at < free:
             continue
-        kind = "der" if m[0] == "M" else "ssh"
-        size = (_der_size if kind == "der" else _ssh_size)(letters, at)
+        kind, size_of, holds = ("der", _der_size, is_der_key) if m[0] == "M" else ("ssh", _ssh_size, is_ssh_key)
+        size = size_of(letters, at)
         end = at - (-(size or 0) * 4 // 3)
-        holds = size is not None and end <= n
-        if kind == "der":
-            holds = holds and is_der_key(raw := _part(letters, at, 0, size)) and (at in ends or _like_key(raw))
-        else:
-            holds = holds and end in ends  # only lengths were checked, so nothing may follow in the line
-            if not holds and m[0] == "b":
-                end, holds = n, True  # the magic is enough
-        if holds:
+        if size and end <= n and holds(_part(letters, at, 0, size)):
             found.append((kind, place(at), place(end, True)))
             free = end
     return found
@@ -215,8 +240,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     longest = {s[:2]: s for s in sorted(found)}  # of what both alphabets read from one place
     found = list(longest.values())
     for m in ANY_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append(("der", *m.span()))
+        if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "6f", "6F"):
+            raw = bytes.fromhex(m[0])
+            found += [(kind, *m.span()) for kind, holds in (("ssh", is_ssh_key), ("der", is_der_key)) if holds(raw)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
