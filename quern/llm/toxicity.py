@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, saved
+from .common import Scratch, id_and_bytes, is_small
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -35,8 +35,6 @@ EXCESS = (1, 2, 3)
 FIGURES = ("mean", *(f"peak_{n}" for n in RUNS), *(f"excess_{n}" for n in EXCESS))
 #: At most so many labelled texts, drawn by a hash of their ids, fit the logistic curve.
 CALIBRATION_ROWS = 20_000
-#: Labels are broadcast up to this many rows, and shuffled beyond.
-BROADCAST_ROWS = 4_000_000
 REMEMBERED = 1 << 18
 START, END = 256, 257
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -139,8 +137,12 @@ def model(words: DataFrame) -> dict[str, np.ndarray]:
 
     table = words.mapInArrow(cut, "m byte, g long, ctx long, rest long, whole boolean, opens boolean, toxic long, ordinary long")
     table = table.groupBy("m", "g", "ctx", "rest", "whole", "opens").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    table = saved(table.where("toxic + ordinary > 0"), "toxicity_grams")
+    with Scratch(words.sparkSession) as work:
+        return _tables(work.saved(table.where("toxic + ordinary > 0"), "grams"))
 
+
+def _tables(table: DataFrame) -> dict[str, np.ndarray]:
+    """The tables from (m, g, ctx, rest, whole, opens, toxic, ordinary): a row for each n-gram."""
     full = table.where("whole")
     shorter = table.where("m > 1").groupBy("rest").agg(F.count("*").alias("cont"))
     # contexts of shorter n-grams: each distinct one brings its continuation count and one kind
@@ -290,28 +292,29 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
     """The share of toxic labels, and (model sent to the workers, weights, offset), None without labels of both classes."""
     own = id_and_bytes(docs, id_col, text_col)
     truth = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(fold("doc_id") != 0)
-    truth = saved(truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity_labels")
-    n = truth.count()
-    train = own.join(F.broadcast(truth) if n <= BROADCAST_ROWS else truth, "doc_id").withColumn("toxic", F.col("toxic") > 0).withColumn("kept_out", fold("doc_id") == 4)
-    words = saved(word_counts(train), "toxicity_words")
-    has = [bool(x) for x in words.agg(*(F.sum(c) for c in ("t0", "o0", "t1", "o1"))).first()]
-    if not ((has[0] or has[2]) and (has[1] or has[3])):
-        return truth.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0, None
-    folded = words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary"))
-    apart = all(has)
-    # one model at a time on the driver: that of the sample goes before the final one comes
-    tables = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")) if apart else folded)
-    rate = min(1.0, CALIBRATION_ROWS / max(1, truth.where(fold("doc_id") == 4).count() if apart else n))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
-    sample = measured(train.where(F.col("kept_out") & drawn if apart else drawn).select("toxic", "text"), sent).toArrow()
-    sent.destroy()
-    if apart:
-        del tables
-        tables = model(folded)
+    context = docs.sparkSession.sparkContext
+    with Scratch(docs.sparkSession) as work:
+        truth = work.saved(truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+        train = own.join(F.broadcast(truth) if is_small(truth) else truth, "doc_id").withColumn("toxic", F.col("toxic") > 0).withColumn("kept_out", fold("doc_id") == 4)
+        words = work.saved(word_counts(train), "words")
+        has = [bool(x) for x in words.agg(*(F.sum(c) for c in ("t0", "o0", "t1", "o1"))).first()]
+        if not ((has[0] or has[2]) and (has[1] or has[3])):
+            return truth.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0, None
+        folded = words.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("o0") + F.col("o1")).alias("ordinary"))
+        apart = all(has)
+        # one model at a time on the driver: that of the sample goes before the final one comes
+        tables = model(words.select("word", F.col("t0").alias("toxic"), F.col("o0").alias("ordinary")) if apart else folded)
+        rate = min(1.0, CALIBRATION_ROWS / max(1, (truth.where(fold("doc_id") == 4) if apart else truth).count()))
+        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
+        sent = context.broadcast(tables)
+        if apart:
+            del tables
+        sample = measured(train.where(F.col("kept_out") & drawn if apart else drawn).select("toxic", "text"), sent).toArrow()
+        sent.destroy()
+        sent = context.broadcast(model(folded) if apart else tables)
     x = np.column_stack([sample.column(c).to_numpy() for c in FIGURES])
     weight, offset = logistic(x, sample.column("toxic").to_numpy(zero_copy_only=False).astype(float))
-    return None, (docs.sparkSession.sparkContext.broadcast(tables), weight, offset)
+    return None, (sent, weight, offset)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
