@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 #: 1900-01-01 to 2099-12-31 has 73,049 days.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
@@ -259,19 +261,20 @@ def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text") -> DataF
     A null text stays null with an empty array; empty texts, repeated rows and all other columns stay as they are. A column
     ``pii`` that ``docs`` has is replaced. ``secret`` keys the permutations; without it pseudonyms cannot be undone.
     """
+    found, pieces, taken = (fresh(n, docs.columns) for n in ("found", "pieces", "taken"))
     text, key = F.col(f"`{text_col}`"), F.lit(secret)
     none = F.array().cast("array<struct<kind:string,value:string,n:int,ends:boolean>>")
     body = F.concat(F.lit("\n"), text)  # a split before each candidate has one piece more than there are candidates
     matches = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(body, F.lit(f"(?=({ANY}))"), F.lit(1)), lambda m: _found(m, key))).otherwise(none)
-    df = docs.withColumn("_found", F.coalesce(matches, none)).withColumn("_pieces", F.when(F.size("_found") > 0, F.split(body, f"(?={ANY})")))
-    df = df.withColumn("_taken", _taken(F.col("_found"), F.slice("_pieces", F.lit(2), F.size("_found"))))
-    rest = F.zip_with(F.slice("_pieces", F.lit(2), F.size("_found")), "_taken", lambda p, t: p.substr(t["gone"] + 1, F.length(p)))
-    values = F.zip_with("_found", "_taken", lambda f, t: F.when(t["own"], f["value"]).otherwise(F.lit("")))
-    parts = F.concat(F.array(F.get("_pieces", F.lit(0))), F.flatten(F.zip_with(values, rest, lambda v, r: F.array(v, r))))
-    kinds = F.filter(F.zip_with("_found", "_taken", lambda f, t: F.when(t["own"], f["kind"])), lambda k: k.isNotNull())
+    df = docs.withColumn(found, F.coalesce(matches, none)).withColumn(pieces, F.when(F.size(found) > 0, F.split(body, f"(?={ANY})")))
+    df = df.withColumn(taken, _taken(F.col(found), F.slice(pieces, F.lit(2), F.size(found))))
+    rest = F.zip_with(F.slice(pieces, F.lit(2), F.size(found)), taken, lambda p, t: p.substr(t["gone"] + 1, F.length(p)))
+    values = F.zip_with(found, taken, lambda f, t: F.when(t["own"], f["value"]).otherwise(F.lit("")))
+    parts = F.concat(F.array(F.get(pieces, F.lit(0))), F.flatten(F.zip_with(values, rest, lambda v, r: F.array(v, r))))
+    kinds = F.filter(F.zip_with(found, taken, lambda f, t: F.when(t["own"], f["kind"])), lambda k: k.isNotNull())
     new = F.array_join(parts, "")
-    out = df.withColumn(text_col, F.when(F.size("_found") > 0, new.substr(F.lit(2), F.length(new))).otherwise(text))
-    return out.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found", "_pieces", "_taken")
+    out = df.withColumn(text_col, F.when(F.size(found) > 0, new.substr(F.lit(2), F.length(new))).otherwise(text))
+    return out.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>"))).drop(found, pieces, taken)
 
 
 def _count(array: str, value: str) -> Column:

@@ -148,3 +148,13 @@ def test_permutations_are_one_to_one(spark):
     assert p.count() == 1000
     days = spark.range(73049).select(pii._date(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), F.lit("k")).alias("d"))
     assert days.distinct().count() == 73049
+
+
+def test_neighbours_and_clashing_columns(spark):
+    texts = ["call 5 4111 1111 1111 1111", "room 12 4111111111111111", "IBAN AT61 1904 3002 3457 3201 THE end", "4111111111111111 123", "card 4111 1111 1111 1111 12/27"]
+    docs = spark.createDataFrame([(i, t, "f", "p", "t") for i, t in enumerate(texts)], "doc_id long, text string, found string, pieces string, taken string")
+    got = pii.pseudonymised(docs, "key").orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert r["text"] != t and len(r["text"]) == len(t) and len(r["pii"]) >= 1
+        assert (r["found"], r["pieces"], r["taken"]) == ("f", "p", "t")
+        assert "4111 1111 1111 1111" not in r["text"] and "4111111111111111" not in r["text"] and "3002 3457" not in r["text"]
