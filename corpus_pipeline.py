@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import mixing, packing, secret_scan, simhash, toxicity
-from quern.llm.common import read_table, saved
+from quern.llm.common import dropped, read_table, saved, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table goes when the next stage has written its own."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        path = shared_path(spark, f"pipeline_{name}")
+        docs = saved(stage(spark, docs, sf_dir), name, path)
+        if last:
+            dropped(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
