@@ -11,8 +11,9 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import linalg as la
 
@@ -255,31 +256,36 @@ class LqrIncrement(_StateFeedback):
 
 
 class Lqg(Kernel):
-    """Regulator with integral action on an observed state; rows are required and measured outputs."""
+    """Output feedback: an observer's state and running sums of the output error, both weighed by one regulator.
+
+    The regulator is that of the plant with integrators behind its outputs, with weight on the integrators alone: (C Q) summed by
+    row. Rows are required and measured outputs. What saturation cuts off the input is taken back from the sums.
+    """
+
+    #: Fixed value: gains below it are zero.
+    LEAST_GAIN = 1e-10
 
     def __init__(self, a, b, c, q, r, noise_q, noise_r, u_max: float = WIDE, di_max: float = WIDE) -> None:
-        n, k = len(a), len(c)
-        big, inputs = la.with_integrator(a, b, k)
-        weight = np.zeros((n + k, n + k))
-        weight[range(n, n + k), range(n, n + k)] = (c @ q).sum(1)
-        gain = la.regulator(big, inputs, weight, r)
-        gain[np.abs(gain) < 1e-10] = 0
-        self.k, self.ki, self.f = gain[:, :n], gain[:, n:], la.observer(a, c, noise_q, noise_r)
-        self.a, self.b, self.c, self.u_max, self.di_max = a, b, c, u_max, di_max
-        self.m = b.shape[1]
-        self.inputs = (*(f"yr{i}" for i in range(k)), *(f"y{i}" for i in range(k)))
-        self.outputs = tuple(f"u{i}" for i in range(self.m))
+        self.plant, self.limits = (a, b, c), (u_max, di_max)
+        states, outputs = len(a), len(c)
+        both = la.regulator(*la.with_integrator(a, b, outputs), np.diag([*[0.0] * states, *(c @ q).sum(1)]), r)
+        both = np.where(np.abs(both) < self.LEAST_GAIN, 0.0, both)
+        self.by_state, self.by_error = np.hsplit(both, [states])
+        self.correct = la.observer(a, c, noise_q, noise_r)
+        self.inputs = tuple(f"{n}{i}" for n in ("yr", "y") for i in range(outputs))
+        self.outputs = tuple(f"u{i}" for i in range(b.shape[1]))
 
     def start(self):
-        return [0.0] * (self.m + len(self.a))
+        return [0.0] * (len(self.outputs) + len(self.plant[0]))
 
     def step(self, state, row):
-        yr, y = column(row[: len(self.c)]), column(row[len(self.c) :])
-        total, x = column(state[: self.m]), column(state[self.m :])
-        total = total + np.clip(self.ki @ (yr - y), -self.di_max, self.di_max)
-        wanted = total - self.k @ x
-        u = np.clip(wanted, -self.u_max, self.u_max)
-        return flat(total - (wanted - u), self.a @ x + self.b @ u + self.f @ (y - self.c @ x)), flat(u)
+        (a, b, c), (most, most_step) = self.plant, self.limits
+        required, measured = np.split(column(row), 2)
+        sums, x = np.split(column(state), [len(self.outputs)])
+        sums = sums + (self.by_error @ (required - measured)).clip(-most_step, most_step)
+        free = sums - self.by_state @ x
+        u = free.clip(-most, most)
+        return flat(sums + u - free, a @ x + b @ u + self.correct @ (measured - c @ x)), flat(u)
 
 
 class LqrDisturbance(_StateFeedback):
@@ -373,20 +379,70 @@ class KoopmanLqr(Kernel):
         return z, [-sum(g * v for g, v in zip(self.gain, z, strict=True))]
 
 
+def _runs(batch: pa.RecordBatch, width: int):
+    """(key, first, end) of each run of equal keys in a batch, and its inputs as rows."""
+    keys = batch.column(0).to_pylist()
+    edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+    columns = [batch.column(batch.num_columns - width + i).to_numpy(zero_copy_only=False) for i in range(width)]
+    rows = np.column_stack(columns).tolist() if width else [[] for _ in keys]
+    return [(keys[a], rows[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def _laid(df: DataFrame, key: str, by: Sequence[str], inputs: Sequence[str]) -> DataFrame:
+    """Rows of a key side by side in one task, in order; the sort may spill."""
+    slim = df.select(key, *by, *(F.col(c).cast("double").alias(f"in_{i}") for i, c in enumerate(inputs)))
+    return slim.repartition(F.col(key)).sortWithinPartitions(key, *by)
+
+
 def filtered(df: DataFrame, kernel: Kernel, key: str, by: Sequence[str], inputs: Sequence[str]) -> DataFrame:
     """``key``, ``by`` and the kernel's outputs, one row for each row of ``df``.
 
-    A key's rows pass one state in order, so a key is the unit of work; keys are independent.
+    A key's rows pass one state in order, so a key is the unit of work; keys are independent. Rows come by Arrow batches and the
+    state goes on from batch to batch: memory does not grow with a key. Null inputs are NaN, null ``by`` values come first.
     """
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in (key, *by)), *(f"{o} double" for o in kernel.outputs)])
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(list(by), kind="stable")
-        _, out = kernel.run(table[list(inputs)].to_numpy(float).tolist())
-        return table[[key, *by]].assign(**{o: [r[i] for r in out] for i, o in enumerate(kernel.outputs)})
-
-    return df.select(key, *by, *inputs).groupBy(key).applyInPandas(run, schema)
+    held, width, names = len(by) + 1, len(inputs), [key, *by, *kernel.outputs]
+
+    def run(batches):
+        state, last = None, None
+        for batch in batches:
+            out = []
+            for k, rows in _runs(batch, width):
+                if (k,) != last:
+                    state, last = None, (k,)
+                state, found = kernel.run(rows, state)
+                out += found
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:held], *(pa.array([r[i] for r in out], pa.float64()) for i in range(len(kernel.outputs)))], names)
+
+    return _laid(df, key, by, inputs).mapInArrow(run, schema)
+
+
+def forecasted(df: DataFrame, kernel: Kalman, key: str, by: Sequence[str], inputs: Sequence[str], future: Sequence[Sequence[float]]) -> DataFrame:
+    """(key, step, y0, ...): what the kernel expects after the last row of each key, under the inputs of ``future``."""
+    schema = ", ".join([f"`{key}` {dict(df.dtypes)[key]}", "step int", *(f"y{i} double" for i in range(len(kernel.h)))])
+    width = len(inputs)
+
+    def run(batches):
+        state, last = None, None
+
+        def ahead():
+            y = kernel.forecast(state, future)
+            return pa.RecordBatch.from_pydict({key: pa.array([last[0]] * len(y), kind), "step": pa.array(range(1, len(y) + 1), pa.int32())} | {f"y{i}": y[:, i] for i in range(len(kernel.h))})
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, rows in _runs(batch, width):
+                if (k,) != last:
+                    if last:
+                        yield ahead()
+                    state, last = None, (k,)
+                state, _ = kernel.run(rows, state)
+        if last:
+            yield ahead()
+
+    return _laid(df, key, by, inputs).mapInArrow(run, schema)
 
 
 def simulated(df: DataFrame, key: str, a, b, inputs: Sequence[str], by: Sequence[str], dt: float | None = None, start: Sequence[float] | None = None) -> DataFrame:

@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import quantiles, running
 
 PLACES = 5
+#: Pairs of true and predicted class that are broadcast.
+MOST_PAIRS = 1_000_000
 
 
 def above(c: Column, threshold: float | Column) -> Column:
@@ -125,6 +127,8 @@ def confusion(df: DataFrame, truth: str, predicted: str, classes: int) -> DataFr
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0)).alias
     t, p, k = F.col("t"), F.col("p"), F.col("class")
     grid = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
+    if (most := pairs.count()) > MOST_PAIRS:
+        raise ValueError(f"{most} pairs of classes; at most {MOST_PAIRS} are compared with every class")
     return grid.join(F.broadcast(pairs)).groupBy("class").agg(n((t == k) & (p == k))("tp"), n((t != k) & (p == k))("fp"), n((t == k) & (p != k))("fn"), n((t != k) & (p != k))("tn"), n(t == k)("n_truth"), n(p == k)("n_predicted"))  # at most classes x classes pairs
 
 
@@ -159,7 +163,7 @@ def regression_evaluation(df: DataFrame, truth: str, predicted: str, n_features:
     r, e = F.col("r"), F.abs("r")
     some = F.abs("t") > 1e-12
     first = base.agg(
-        F.count("*").alias("n"), F.avg(r * r).alias("mse"), F.avg(e).alias("mae"), F.median(e).alias("medae"), F.max(e).alias("maxe"), F.avg(F.when(some, e / F.abs("t"))).alias("mape"),
+        F.count("*").alias("n"), F.avg(r * r).alias("mse"), F.avg(e).alias("mae"), F.max(e).alias("maxe"), F.avg(F.when(some, e / F.abs("t"))).alias("mape"),
         F.avg(r).alias("rm"), F.stddev_samp(r).alias("rs"), F.sum(r * r).alias("res"), (F.count("*") * F.var_pop("t")).alias("tot"),
     )
     bands = base.join(F.broadcast(first.select("rs"))).agg(*(F.avg(F.when(e <= k * F.col("rs"), r * r)).alias(f"band{k}") for k in (1, 2, 3)))  # one row
@@ -170,7 +174,8 @@ def regression_evaluation(df: DataFrame, truth: str, predicted: str, n_features:
     } | {f"mse_{k}_sigma": F.coalesce(f"band{k}", "mse") for k in (1, 2, 3)}
     if n_features is not None:
         columns["adjusted_r2"] = F.when(n > n_features + 1, 1 - (1 - r2) * (n - 1) / (n - n_features - 1)).otherwise(r2)
-    return first.join(F.broadcast(bands)).select(F.col("n").alias("n_samples"), *rounded(columns))
+    middle = quantiles(base.select(e.alias("e")), "e", [0.5]).agg(F.max("q0").alias("medae"))
+    return first.join(F.broadcast(bands)).join(F.broadcast(middle)).select(F.col("n").alias("n_samples"), *rounded(columns))  # one row each
 
 
 def keypoints_evaluation(df: DataFrame, point: str, zone: str, predicted: str, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
@@ -216,8 +221,14 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 
 def timing_summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return df.groupBy(*by).agg(F.round(F.avg(column), PLACES).alias("mean"), F.round(F.stddev_pop(column), PLACES).alias("std"), F.round(q(0.68), PLACES).alias("p68"), F.round(q(0.95), PLACES).alias("p95"), F.round(q(0.997), PLACES).alias("p997"), F.round(F.max(column), PLACES).alias("max"))
+    """By group mean, std, exact 68, 95 and 99.7 % quantiles and max. Groups are few: their figures are broadcast."""
+    first = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.max(column).alias("max"))
+    marks = quantiles(df, column, [0.68, 0.95, 0.997], by).select(*(F.col(c).alias(f"o_{c}") for c in by), "q0", "q1", "q2")
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    both = first.join(marks, on, "left") if by else first.join(F.broadcast(marks), how="left")
+    return both.select(*by, *rounded({"mean": F.col("mean"), "std": F.col("std"), "p68": F.col("q0"), "p95": F.col("q1"), "p997": F.col("q2"), "max": F.col("max")}))
 
 
 def formatted(metrics: DataFrame) -> DataFrame:

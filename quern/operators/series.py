@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import fresh
+
 
 def order(key: str, by: Sequence[str]):
     return Window.partitionBy(key).orderBy(*by)
@@ -18,29 +20,34 @@ def order(key: str, by: Sequence[str]):
 def sliding(df: DataFrame, key: str, by: Sequence[str], value: str, size: int, horizon: int | None = None, include_last: bool = False) -> DataFrame:
     """Windows of ``size`` values that begin at each row, as arrays ``window``; n - size of a key (the last full one is left out unless
     ``include_last``). With ``horizon`` also ``target``, the value ``size + horizon - 1`` rows on, for all n - size - horizon + 1."""
-    w = order(key, by)
-    left = F.count("*").over(Window.partitionBy(key)) - F.row_number().over(w) + 1
-    out = df.withColumn("window", F.collect_list(value).over(w.rowsBetween(0, size - 1))).withColumn("_left", left)
+    w, left = order(key, by), fresh("left", df.columns)
+    out = df.withColumn("window", F.collect_list(value).over(w.rowsBetween(0, size - 1))).withColumn(left, F.count("*").over(Window.partitionBy(key)) - F.row_number().over(w) + 1)
     if horizon is not None:
-        return out.withColumn("target", F.lead(value, size + horizon - 1).over(w)).where(F.col("_left") >= size + horizon).drop("_left")
-    return out.where(F.col("_left") >= size + (not include_last)).drop("_left")
+        return out.withColumn("target", F.lead(value, size + horizon - 1).over(w)).where(F.col(left) >= size + horizon).drop(left)
+    return out.where(F.col(left) >= size + (not include_last)).drop(left)
 
 
 def lagged(df: DataFrame, key: str, by: Sequence[str], states: Sequence[str], inputs: Sequence[str] = (), lags: int = 0) -> DataFrame:
     """For delay 0 to ``lags`` the states, then the inputs (``x_lag0``, ...), and the next states (``x_next``); complete rows only."""
     if lags < 0:
         raise ValueError("lags is 0 or more")
-    w = order(key, by)
+    w, seq, n = order(key, by), fresh("seq", df.columns), fresh("n", df.columns)
     names = {f"{c}_lag{k}": F.lag(c, k).over(w) for k in range(lags + 1) for c in (*states, *inputs)} | {f"{c}_next": F.lead(c, 1).over(w) for c in states}
-    seq, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(key))
-    return df.withColumns(names | {"_seq": seq, "_n": n}).where((F.col("_seq") > lags) & (F.col("_seq") < F.col("_n"))).drop("_seq", "_n")
+    return df.withColumns(names | {seq: F.row_number().over(w), n: F.count("*").over(Window.partitionBy(key))}).where((F.col(seq) > lags) & (F.col(seq) < F.col(n))).drop(seq, n)
 
 
 def hankel(df: DataFrame, key: str, by: Sequence[str], value: str, depth: int) -> DataFrame:
     """h0, h1, ...: the value and its ``depth`` - 1 successors, complete rows only."""
-    w = order(key, by)
-    left = F.count("*").over(Window.partitionBy(key)) - F.row_number().over(w)
-    return df.withColumns({f"h{i}": F.lead(value, i).over(w) for i in range(depth)} | {"_left": left}).where(F.col("_left") >= depth - 1).drop("_left")
+    w, left = order(key, by), fresh("left", df.columns)
+    own = {f"h{i}": F.lead(value, i).over(w) for i in range(depth)} | {left: F.count("*").over(Window.partitionBy(key)) - F.row_number().over(w)}
+    return df.withColumns(own).where(F.col(left) >= depth - 1).drop(left)
+
+
+def blocks(df: DataFrame, key: str, by: Sequence[str], value: str, size: int) -> DataFrame:
+    """(key, block, x): all values of a key in order, cut into arrays of ``size``; the last block of a key has what is left."""
+    place = df.select(key, *by, F.col(value).cast("double").alias("x_")).withColumn("seq_", F.row_number().over(order(key, by)) - 1)
+    own = place.groupBy(key, F.floor(F.col("seq_") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("seq_", "x_"))).alias("a_"))
+    return own.select(key, "block", F.transform("a_", lambda v: v["x_"]).alias("x"))
 
 
 def integrated(df: DataFrame, key: str, by: Sequence[str], rate: str, dt: float) -> DataFrame:
@@ -56,34 +63,11 @@ def gradient(df: DataFrame, key: str, by: Sequence[str], value: str, dt: float)
     return df.withColumn("gradient", F.coalesce((b - a) / (2 * dt), (b - v) / dt, (v - a) / dt, F.lit(0.0)))
 
 
-def recurrence(df: DataFrame, key: str, by: Sequence[str], values: Sequence[str], state: dict[str, float | None], step, out: dict) -> DataFrame:
-    """Run a recurrence along each key inside the JVM: one row for each input row, with the columns ``out``.
-
-    ``step(state, row)`` gives the new state as columns by name, ``out`` names functions of (state after, row). A key's rows
-    are gathered in one array, so this suits keys of bounded length; longer ones go through ``filters.filtered``.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(*by, *values)))
-    blank = F.struct(*(F.lit(v).cast("double").alias(n) for n, v in state.items()), *(F.lit(None).cast("double").alias(f"o_{n}") for n in out))
-    start = F.struct(blank.alias("s"), F.array().cast("array<struct<" + ",".join([*(f"{n}:double" for n in state), *(f"o_{n}:double" for n in out)]) + ">>").alias("a"))
-
-    def move(acc: Column, r: Column) -> Column:
-        new = step(acc["s"], r)
-        body = F.struct(*(new[n].alias(n) for n in state), *(f(new, r).alias(f"o_{n}") for n, f in out.items()))
-        return F.struct(body.alias("s"), F.array_append(acc["a"], body).alias("a"))
-
-    done = df.groupBy(key).agg(rows.alias("_rows")).withColumn("_done", F.aggregate("_rows", start, move, lambda acc: acc["a"]))
-    each = done.select(key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_done").alias("d"))).alias("e"))
-    return each.select(key, *(F.col(f"e.r.{c}").alias(c) for c in (*by, *values)), *(F.col(f"e.d.o_{n}").alias(n) for n in out))
-
-
 def ema(df: DataFrame, key: str, by: Sequence[str], value: str, alpha: float) -> DataFrame:
-    """y = alpha x + (1 - alpha) y before; the first y is x."""
-
-    def step(s, r):
-        x = r[value].cast("double")
-        return {"y": F.when(s["y"].isNull(), x).otherwise(alpha * x + (1 - alpha) * s["y"])}
+    """(key, by, ema): y = alpha x + (1 - alpha) y before; the first y is x. Linear in the rows of a key, a batch of them at a time."""
+    from .filters import Ema, filtered
 
-    return recurrence(df, key, by, [value], {"y": None}, step, {"ema": lambda new, r: new["y"]})
+    return filtered(df, Ema(alpha), key, by, [value]).withColumnRenamed("y", "ema")
 
 
 def taper(i: Column, n: Column, alpha: float = 0.5) -> Column:
@@ -106,7 +90,8 @@ def spectrum(df: DataFrame, array: str) -> DataFrame:
         found = [np.fft.rfft(np.asarray(v, float)) if v is not None and len(v) else np.zeros(0, complex) for v in x]
         return pd.DataFrame({"re": [f.real for f in found], "im": [f.imag for f in found]})
 
-    return df.withColumn("_f", run(F.col(array))).withColumns({"re": F.col("_f.re"), "im": F.col("_f.im")}).drop("_f")
+    f = fresh("f", df.columns)
+    return df.withColumn(f, run(F.col(array))).withColumns({"re": F.col(f"{f}.re"), "im": F.col(f"{f}.im")}).drop(f)
 
 
 def shape_features(x: np.ndarray) -> dict[str, float]:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionary as dc
-from ..functions import linalg as la
 from ..operators import filters as fl
 from ..operators import metrics as mt
 from ..operators import regression as rg
@@ -415,92 +414,150 @@ def win_gradient(spark, d):
     return se.gradient(events(spark, d), "user_id", BY, "value", 0.1).select("user_id", "event_id", F.round("gradient", 6).alias("gradient"))
 
 
-def _recursive(first: str, then: str, names: str, outs: str) -> str:
-    """A recurrence along each user's events: columns ``names`` from ``first`` on row 1 and ``then`` on the others (state s, row e)."""
-    return f"with recursive e as {EV_SQL}, s({names}, user_id, event_id, seq) as (select {first}, user_id, event_id, seq from e where seq = 1 union all select {then}, e.user_id, e.event_id, e.seq from s join e on e.user_id = s.user_id and e.seq = s.seq + 1) select user_id, event_id, {outs} from s"
+def _recurrence(chain: dict[str, str], start: dict[str, float], outs: str, gains: str = "", tables: str = "", last: bool = False) -> str:
+    """A recurrence along each user's events (row e). ``chain`` computes new values one after the other from those before (p_...),
+    which are ``start`` on the first row; ``gains`` are common tables, ``tables`` those of them that a step reads."""
+    more = "".join(f", {t}.*" for t in tables.split())
+    join = "".join(f", {t}" for t in tables.split())
+    step = ", ".join(f"{e} as {n}" for n, e in chain.items())
+    names = ", ".join(start)
+    first = f"select e.user_id, e.event_id, e.seq, e.value{more}, {', '.join(f'{v}::double as p_{n}' for n, v in start.items())} from e{join} where e.seq = 1"
+    then = f"select e.user_id, e.event_id, e.seq, e.value{more}, {', '.join(f's.{n} as p_{n}' for n in start)} from s join e on e.user_id = s.user_id and e.seq = s.seq + 1{join}"
+    each = f"select {names}, user_id, event_id, seq from (select *, {step} from ({{}}))"
+    return f"with recursive {gains + ', ' if gains else ''}e as {EV_SQL}, s({names}, user_id, event_id, seq) as ({each.format(first)} union all {each.format(then)}) select {outs} from s"
 
 
-@query("win_ema", _recursive("value", "0.2::double * e.value + 0.8::double * s.y", "y", "round(y, 6) as ema"))
-def win_ema(spark, d):
-    return se.ema(events(spark, d), "user_id", BY, "value", 0.2).select("user_id", "event_id", F.round("ema", 6).alias("ema"))
+def _riccati(name: str, a: tuple, b: tuple, q: tuple, r: float, steps: int = 600) -> str:
+    """Common tables that iterate the Riccati equation of two states and one input in SQL. ``name`` has the gain (k1, k2) of a regulator
+    with A = a (by row), B = b, Q = diag q; and, for A and B transposed from those of an observer, its gain (l1, l2)."""
+    parts = f"""select i, {a[0]} * m11 + {a[2]} * m21 + {q[0]} as x11, {a[0]} * m12 + {a[2]} * m22 as x12, {a[1]} * m12 + {a[3]} * m22 + {q[1]} as x22,
+        {b[0]} * m11 + {b[1]} * m21 as g1, {b[0]} * m12 + {b[1]} * m22 as g2, {b[0]} * p11 + {b[1]} * p12 as h1, {b[0]} * p12 + {b[1]} * p22 as h2, {r} + {b[0]} * ({b[0]} * p11 + {b[1]} * p12) + {b[1]} * ({b[0]} * p12 + {b[1]} * p22) as s
+        from (select *, p11 * {a[0]} + p12 * {a[2]} as m11, p11 * {a[1]} + p12 * {a[3]} as m12, p12 * {a[0]} + p22 * {a[2]} as m21, p12 * {a[1]} + p22 * {a[3]} as m22 from {name}_it)"""
+    return f"""{name}_it(i, p11, p12, p22) as (select 0, {q[0]}::double, 0::double, {q[1]}::double union all select i + 1, x11 - g1 * g1 / s, x12 - g1 * g2 / s, x22 - g2 * g2 / s from ({parts}) where i < {steps}),
+        {name} as (select g1 / s as {name}1, g2 / s as {name}2, h1 / s as {name}l1, h2 / s as {name}l2 from ({parts}) where i = {steps})"""
 
 
-_LP = fl.Biquad.design("low_pass", 0.4)
-_B, _A = [f"({v!r}::double)" for v in _LP.b], [f"({v!r}::double)" for v in _LP.a]
+def _clip(e: str, most: float) -> str:
+    return f"greatest(-{most}::double, least({most}::double, {e}))"
 
 
-def _biquad_sql(x: str, w1: str, w2: str) -> str:
-    y = f"({_B[0]} * {x} + {w1})"
-    return f"{y}, {_B[1]} * {x} - {_A[0]} * {y} + {w2}, {_B[2]} * {x} - {_A[1]} * {y}"
+def _along(spark, d, kernel, **inputs) -> DataFrame:
+    """A kernel along each user's events; inputs are columns of the events."""
+    df = events(spark, d).withColumns({f"in_{n}": c.cast("double") for n, c in inputs.items()})
+    return rounded(fl.filtered(df, kernel, "user_id", BY, [f"in_{n}" for n in inputs]).select("user_id", "event_id", *kernel.outputs))
 
 
-@query("flt_biquad_lowpass", _recursive(_biquad_sql("value", "0.0::double", "0.0::double"), _biquad_sql("e.value", "s.w1", "s.w2"), "y, w1, w2", "round(y, 6) as y"))
-def flt_biquad_lowpass(spark, d):
-    def step(s, row):
-        x = row["value"]
-        y = _LP.b[0] * x + s["w1"]
-        return {"y": y, "w1": _LP.b[1] * x - _LP.a[0] * y + s["w2"], "w2": _LP.b[2] * x - _LP.a[1] * y}
+def _steered(name: str, kernel, inputs: dict, sql: str) -> None:
+    query(name, sql)(lambda spark, d: _along(spark, d, kernel(), **{n: c() for n, c in inputs.items()}))
 
-    out = se.recurrence(events(spark, d), "user_id", BY, ["value"], {"y": 0.0, "w1": 0.0, "w2": 0.0}, step, {"y": lambda new, row: new["y"]})
-    return out.select("user_id", "event_id", F.round("y", 6).alias("y"))
 
+_ID = "user_id, event_id"
+_VALUE, _FIFTY, _ZERO = (lambda: F.col("value")), (lambda: F.lit(50.0)), (lambda: F.lit(0.0))
 
-# A constant-velocity model, its steady gain as literals in the SQL.
-_CV = fl.Kalman(np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([[0.0], [0.0]]), np.array([[1.0, 0.0]]), np.diag([0.01, 0.01]), np.array([[4.0]]))
-_K = [repr(float(v)) for v in _CV.k[:, 0]]
 
-
-def _cv_sql(v: str, p: str, w: str) -> str:
-    f0, f1 = f"({p} + {_K[0]}::double * ({v} - {p}))", f"({w} + {_K[1]}::double * ({v} - {p}))"
-    return f"{f0}, {f1}, {f0} + {f1}, {f1}"
+@query("win_ema", _recurrence({"y": "case when seq = 1 then value else 0.2::double * value + 0.8::double * p_y end"}, {"y": 0}, f"{_ID}, round(y, 6) as ema"))
+def win_ema(spark, d):
+    return se.ema(events(spark, d), "user_id", BY, "value", 0.2).select("user_id", "event_id", F.round("ema", 6).alias("ema"))
 
 
-@query("flt_kalman_cv", _recursive(_cv_sql("value", "0.0::double", "0.0::double"), _cv_sql("e.value", "s.p", "s.w"), "f0, f1, p, w", "round(f0, 6) as x0, round(f1, 6) as x1"))
-def flt_kalman_cv(spark, d):
-    df = events(spark, d).withColumn("u", F.lit(0.0))
-    return rounded(fl.filtered(df, _CV, "user_id", BY, ["value", "u"]).select("user_id", "event_id", "x0", "x1"))
+# Second-order sections at 0.4 radians a sample: the numerators of the audio cookbook over 1 + alpha.
+_SECTIONS = {"low_pass": ("(1 - c) / 2", "1 - c", "(1 - c) / 2"), "high_pass": ("(1 + c) / 2", "-1 - c", "(1 + c) / 2"), "band_pass": ("alpha", "0", "-alpha"), "band_stop": ("1", "-2 * c", "1")}
 
 
-@query("flt_kalman_forecast", f"select user_id, h::int as step, round(p + w * h, 5) as y from ({_recursive(_cv_sql('value', '0.0::double', '0.0::double'), _cv_sql('e.value', 's.p', 's.w'), 'f0, f1, p, w', 'seq, p, w')}) join (select user_id, count(*) as seq from events group by user_id) using (user_id, seq), range(1, 6) g(h)")
-def flt_kalman_forecast(spark, d):
-    out = fl.filtered(events(spark, d).withColumn("u", F.lit(0.0)), _CV, "user_id", BY, ["value", "u"])
-    last = out.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "x0", "x1")).alias("m"))
-    h = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return h.select("user_id", "step", F.round(F.col("m.x0") + F.col("m.x1") + F.col("m.x1") * F.col("step"), 5).alias("y"))
+def _section(kind: str) -> str:
+    b = _SECTIONS[kind]
+    q = "sqrt(0.5)" if kind in ("low_pass", "high_pass") else "1.0"
+    return f"g as (select ({b[0]}) / (1 + alpha) as b0, ({b[1]}) / (1 + alpha) as b1, ({b[2]}) / (1 + alpha) as b2, -2 * c / (1 + alpha) as a1, (1 - alpha) / (1 + alpha) as a2 from (select cos(0.4::double) as c, sin(0.4::double) / (2 * {q}) as alpha))"
 
 
-@query("flt_frequency_response", f"with p as (select i, i * pi() / 63 as w from range(64) g(i)), q as (select i, w, {_B[0]} + {_B[1]} * cos(w) + {_B[2]} * cos(2 * w) as nr, -({_B[1]} * sin(w) + {_B[2]} * sin(2 * w)) as ni, 1 + {_A[0]} * cos(w) + {_A[1]} * cos(2 * w) as dr, -({_A[0]} * sin(w) + {_A[1]} * sin(2 * w)) as di from p) select i, round(w, 6) as w, round((nr * dr + ni * di) / (dr * dr + di * di), 6) + 0.0 as re, round((ni * dr - nr * di) / (dr * dr + di * di), 6) + 0.0 as im from q")
-def flt_frequency_response(spark, d):
-    w = F.col("id") * math.pi / 63
-    (b0, b1, b2), (a1, a2) = _LP.b, _LP.a
-    nr, ni = b0 + b1 * F.cos(w) + b2 * F.cos(2 * w), -(b1 * F.sin(w) + b2 * F.sin(2 * w))
-    dr, di = 1 + a1 * F.cos(w) + a2 * F.cos(2 * w), -(a1 * F.sin(w) + a2 * F.sin(2 * w))
-    return spark.range(64).select(F.col("id").alias("i"), F.round(w, 6).alias("w"), F.round((nr * dr + ni * di) / (dr * dr + di * di), 6).alias("re"), F.round((ni * dr - nr * di) / (dr * dr + di * di), 6).alias("im"))
+for _kind in _SECTIONS:
+    _steered(
+        "flt_biquad_" + _kind.replace("_", ""), lambda kind=_kind: fl.Biquad.design(kind, 0.4), {"x": _VALUE},
+        _recurrence({"y": "b0 * value + p_w1", "w1": "b1 * value - a1 * y + p_w2", "w2": "b2 * value - a2 * y"}, {"y": 0, "w1": 0, "w2": 0}, f"{_ID}, round(y, 6) as y", _section(_kind), "g"),
+    )
 
 
-@query("ctl_pid_textbook", f"select user_id, event_id, round(0.5 * e + 0.01 * sum(e) over (partition by user_id order by ts, event_id rows unbounded preceding) + 0.1 * (e - coalesce(lag(e) {_OVER}, 0)), 6) as u from (select *, 50 - value as e from {EV_SQL})")
-def ctl_pid_textbook(spark, d):
-    w = se.order("user_id", BY)
-    e = F.col("e")
-    u = 0.5 * e + 0.01 * F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 0.1 * (e - F.lag(e, 1, 0.0).over(w))
-    return events(spark, d).withColumn("e", 50 - F.col("value")).select("user_id", "event_id", F.round(u, 6).alias("u"))
+@query("flt_frequency_response", f"""with {_section("low_pass")}, p as (select i, i * pi() / 63 as w from range(64) t(i)), q as (select i, w, b0 + b1 * cos(w) + b2 * cos(2 * w) as nr, -(b1 * sin(w) + b2 * sin(2 * w)) as ni, 1 + a1 * cos(w) + a2 * cos(2 * w) as dr, -(a1 * sin(w) + a2 * sin(2 * w)) as di from p, g)
+    select i, round(w, 6) as w, round((nr * dr + ni * di) / (dr * dr + di * di), 6) + 0.0 as re, round((ni * dr - nr * di) / (dr * dr + di * di), 6) + 0.0 as im from q""")
+def flt_frequency_response(spark, d):
+    w, z = fl.Biquad.design("low_pass", 0.4).response(64)
+    return spark.createDataFrame([(i, round(float(w[i]), 6), round(float(z[i].real), 6) + 0.0, round(float(z[i].imag), 6) + 0.0) for i in range(64)], "i long, w double, re double, im double")
 
 
-@query("ctl_pid_incremental", f"select user_id, event_id, round(greatest(-100.0, least(100.0, coalesce(lag(value) {_OVER}, 0) + 0.61 * e - 0.7 * coalesce(lag(e, 1) {_OVER}, 0) + 0.1 * coalesce(lag(e, 2) {_OVER}, 0))), 6) as u from (select *, 50 - value as e from {EV_SQL})")
-def ctl_pid_incremental(spark, d):
-    w = se.order("user_id", BY)
-    e = F.col("e")
-    u = F.lag("value", 1, 0.0).over(w) + 0.61 * e - 0.7 * F.lag(e, 1, 0.0).over(w) + 0.1 * F.lag(e, 2, 0.0).over(w)
-    return events(spark, d).withColumn("e", 50 - F.col("value")).select("user_id", "event_id", F.round(dc.clip(u, -100.0, 100.0), 6).alias("u"))
+# A constant-velocity model observed in its place; the SQL iterates its gain.
+def _velocity(make, **more):
+    return make(np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([[0.0], [0.0]]), np.array([[1.0, 0.0]]), np.diag([0.01, 0.01]), np.array([[4.0]]), **more)
 
 
-_GAIN = [repr(float(v)) for v in la.regulator(np.array([[1.0, 0.1], [0.0, 1.0]]), np.array([[0.0], [0.1]]), np.eye(2), np.eye(1))[0]]
+_CV_SQL = _riccati("g", (1, 0, 1, 1), (1, 0), (0.01, 0.01), 4)
+_CV_STEP = {"f0": "p_p + gl1 * (value - p_p)", "f1": "p_w + gl2 * (value - p_p)", "p": "f0 + f1", "w": "f1"}
+_CV_START = dict.fromkeys(_CV_STEP, 0)
+_steered("flt_kalman_cv", lambda: _velocity(fl.Kalman), {"y": _VALUE, "u": _ZERO}, _recurrence(_CV_STEP, _CV_START, f"{_ID}, round(f0, 6) as x0, round(f1, 6) as x1", _CV_SQL, "g"))
+_steered(
+    "flt_kalman_alarm", lambda: _velocity(fl.KalmanAlarm), {"y": _VALUE, "u": _ZERO},
+    _recurrence({"p": "p_p + p_w + gl1 * (value - p_p)", "w": "p_w + gl2 * (value - p_p)", "far": "(value - p) * (value - p) / 4", "alarm": "0.99 * p_alarm + 0.01 * (far > 6.6348966010212145)::int"}, {"p": 0, "w": 0, "far": 0, "alarm": 0}, f"{_ID}, round(p, 6) as x0, round(w, 6) as x1, round(far, 6) as distance, round(alarm, 6) as alarm", _CV_SQL, "g"),
+)
 
 
-@query("ctl_lqr_static", f"select o_orderkey, round(greatest(-2.0, least(2.0, {_GAIN[0]} * (1.0 - x0) + {_GAIN[1]} * (0.0 - x1))), 6) as u from {X_SQL}")
-def ctl_lqr_static(spark, d):
-    u = float(_GAIN[0]) * (1.0 - F.col("x0")) + float(_GAIN[1]) * (0.0 - F.col("x1"))
-    return points(spark, d).select("o_orderkey", F.round(dc.clip(u, -2.0, 2.0), 6).alias("u"))
+@query("flt_kalman_forecast", f"select user_id, h::int as step, round(p + w * h, 5) as y from ({_recurrence(_CV_STEP, _CV_START, 'user_id, seq, p, w', _CV_SQL, 'g')}) join (select user_id, count(*) as seq from events group by user_id) using (user_id, seq), range(1, 6) t(h)")
+def flt_kalman_forecast(spark, d):
+    out = fl.forecasted(events(spark, d).withColumn("u", F.lit(0.0)), _velocity(fl.Kalman), "user_id", BY, ["value", "u"], [[0.0]] * 5)
+    return out.select("user_id", "step", F.round("y0", 5).alias("y"))
+
+
+_steered(
+    "flt_madgwick", lambda: fl.Madgwick(0.1),
+    {"ax": lambda: F.col("value") / 100 - 0.5, "ay": lambda: (F.col("event_id") % 5 - 2) / 10, "az": lambda: F.lit(1.0), "gx": lambda: F.lit(0.1), "gy": lambda: (F.col("event_id") % 3 - 1) / 5, "gz": lambda: F.lit(0.05), "dt": lambda: F.lit(0.1)},
+    _recurrence(
+        {
+            "ax": "value / 100 - 0.5::double", "ay": "(event_id % 5 - 2) / 10.0::double", "gy": "(event_id % 3 - 1) / 5.0::double", "n": "sqrt(ax * ax + ay * ay + 1)",
+            "fx": "2 * (p_x * p_z - p_w * p_y) - ax / n", "fy": "2 * (p_w * p_x + p_y * p_z) - ay / n", "fz": "1 - 2 * (p_x * p_x + p_y * p_y) - 1 / n",
+            "sw": "2 * (p_x * fy - p_y * fx)", "sx": "2 * (p_z * fx + p_w * fy - 2 * p_x * fz)", "sy": "2 * (p_z * fy - p_w * fx - 2 * p_y * fz)", "sz": "2 * (p_x * fx + p_y * fy)", "m": "sqrt(sw * sw + sx * sx + sy * sy + sz * sz)",
+            "vw": "p_w + 0.1::double * (0.5::double * (-p_x * 0.1::double - p_y * gy - p_z * 0.05::double) - 0.1::double * sw / m)", "vx": "p_x + 0.1::double * (0.5::double * (p_w * 0.1::double + p_y * 0.05::double - p_z * gy) - 0.1::double * sx / m)",
+            "vy": "p_y + 0.1::double * (0.5::double * (p_w * gy - p_x * 0.05::double + p_z * 0.1::double) - 0.1::double * sy / m)", "vz": "p_z + 0.1::double * (0.5::double * (p_w * 0.05::double + p_x * gy - p_y * 0.1::double) - 0.1::double * sz / m)",
+            "size": "sqrt(vw * vw + vx * vx + vy * vy + vz * vz)", "w": "vw / size", "x": "vx / size", "y": "vy / size", "z": "vz / size",
+        },
+        {"w": 1, "x": 0, "y": 0, "z": 0}, f"{_ID}, round(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), 6) as roll, round(asin(greatest(-1.0, least(1.0, 2 * (w * y - z * x)))), 6) as pitch, round(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)), 6) as yaw",
+    ),
+)
+
+_steered("ctl_pid_textbook", lambda: fl.PidTextbook(0.5, 0.01, 0.1), {"xr": _FIFTY, "x": _VALUE}, f"select user_id, event_id, round(0.5 * e + 0.01 * sum(e) over (partition by user_id order by ts, event_id rows unbounded preceding) + 0.1 * (e - coalesce(lag(e) {_OVER}, 0)), 6) as u from (select *, 50 - value as e from {EV_SQL})")
+_steered(
+    "ctl_pid_incremental", lambda: fl.Pid(0.5, 0.01, 0.1, 100.0), {"xr": _FIFTY, "x": _VALUE, "u_prev": lambda: F.lag("value", 1, 0.0).over(se.order("user_id", BY))},
+    f"select user_id, event_id, round(greatest(-100.0, least(100.0, coalesce(lag(value) {_OVER}, 0) + 0.61 * e - 0.7 * coalesce(lag(e, 1) {_OVER}, 0) + 0.1 * coalesce(lag(e, 2) {_OVER}, 0))), 6) as u from (select *, 50 - value as e from {EV_SQL})",
+)
+_steered(
+    "ctl_lqr_static", lambda: fl.Lqr(np.array([[1.0, 0.1], [0.0, 1.0]]), np.array([[0.0], [0.1]]), np.eye(2), np.eye(1), 12.0), {"xr0": lambda: F.lit(5.0), "xr1": _ZERO, "x0": lambda: F.col("value") / 10, "x1": lambda: F.col("event_id") % 10},
+    f"with recursive {_riccati('k', (1, 0.1, 0, 1), (0, 0.1), (1, 1), 1)} select user_id, event_id, round({_clip('k1 * (5 - value / 10) - k2 * (event_id % 10)', 12)}, 6) as u0 from events, k",
+)
+
+# The plants of the other controllers: x' = 0.9 x + 0.5 u. Their gains are iterated in SQL, too.
+_A, _B, _HALF, _ONE = np.array([[0.9]]), np.array([[0.5]]), np.array([[0.5]]), np.eye(1)
+_TRACK = {"xr": _FIFTY, "x": _VALUE}
+_steered(
+    "ctl_lqr_integral", lambda: fl.LqrIntegral(_A, _B, _ONE, _HALF, q_scale=0.5, u_max=40.0), _TRACK,
+    _recurrence({"z0": "p_z + k2 * (50 - value)", "free": "z0 - k1 * value", "u": _clip("free", 40), "z": "z0 - (free - u)"}, {"u": 0, "z": 0}, f"{_ID}, round(u, 6) as u0", _riccati("k", (0.9, 0, 1, 1), (0.5, 0), (1, 0.5), 0.5), "k"),
+)
+_steered(
+    "ctl_lqr_increment", lambda: fl.LqrIncrement(_A, _B, _ONE, _HALF, 0.1, 30.0), _TRACK,
+    _recurrence({"u": _clip("p_u + k1 * (50 - value) - k2 * p_u", 30)}, {"u": 0}, f"{_ID}, round(u, 6) as u0", _riccati("k", (0.9, 0.5, 0, 1), (0, 1), (1, 0.1), 0.5), "k"),
+)
+_steered(
+    "ctl_lqr_disturbance", lambda: fl.LqrDisturbance(_A, _B, _ONE, _HALF, np.diag([0.1, 0.05]), _ONE), _TRACK,
+    _recurrence({"x0": "0.9 * p_x + 0.5 * p_d + 0.5 * p_u", "x": "x0 + ol1 * (value - x0)", "d": "p_d + ol2 * (value - x0)", "u": "k1 * (50 - value) - d"}, {"x": 0, "d": 0, "u": 0}, f"{_ID}, round(u, 6) as u0", _riccati("k", (0.9, 0, 0, 0), (0.5, 0), (1, 0), 0.5) + ", " + _riccati("o", (0.9, 0, 0.5, 1), (1, 0), (0.1, 0.05), 1), "k o"),
+)
+_steered(
+    "ctl_lqg", lambda: fl.Lqg(_A, _B, _ONE, _ONE, _HALF, np.array([[0.2]]), _ONE, 60.0, 5.0), _TRACK,
+    _recurrence({"sums": f"p_z + {_clip('k2 * (50 - value)', 5)}", "free": "sums - k1 * p_x", "u": _clip("free", 60), "z": "sums + u - free", "x": "0.9 * p_x + 0.5 * u + ol1 * (value - p_x)"}, {"u": 0, "z": 0, "x": 0}, f"{_ID}, round(u, 6) as u0", _riccati("k", (0.9, 0, 1, 1), (0.5, 0), (0, 1), 0.5) + ", " + _riccati("o", (0.9, 0, 0, 0), (1, 0), (0.2, 0), 1), "k o"),
+)
+# Three steps ahead with one input: the plan is one quotient; the projected gradient reaches the same input in its first step.
+_MPC = f"select user_id, event_id, round({_clip('(0.5 * (50 - 0.9 * value) + 0.45 * (50 - 0.81 * value) + 0.405 * (50 - 0.729 * value)) / (0.25 + 0.2025 + 0.164025 + 0.5)', 45)}, 6) as u0 from events"
+_steered("ctl_mpc", lambda: fl.Mpc(_A, _B, _ONE, _HALF, 3, 1, 45.0), _TRACK, _MPC)
+_steered("ctl_mpc_gradient", lambda: fl.MpcGradient(_A, _B, _ONE, _HALF, predict=3, control=1, u_max=45.0), _TRACK, _MPC)
+_steered(
+    "ctl_adrc", lambda: fl.Adrc(1.0, 0.5, 2.0, 0.1), _TRACK | {"u_now": lambda: F.col("event_id") % 7 / 10},
+    _recurrence({"z1": "p_z1 + 0.1::double * (p_z2 + 6 * (value - p_z1))", "z2": "p_z2 + 0.1::double * (p_z3 + event_id % 7 / 10.0::double + 12 * (value - p_z1))", "z3": "p_z3 + 0.1::double * 8 * (value - p_z1)"}, {"z1": 0, "z2": 0, "z3": 0}, f"{_ID}, round(0.25::double * (50 - z1) - z2 - z3, 6) as u"),
+)
 
 
 @query("ctl_koopman", f"select user_id, event_id, round(-(0.3 * value + 0.2 * coalesce(lag(value, 1) {_OVER}, 0) + 0.1 * coalesce(lag(value, 2) {_OVER}, 0)), 6) as u from {EV_SQL}")
@@ -509,23 +566,23 @@ def ctl_koopman(spark, d):
     return rounded(out.select("user_id", "event_id", "u"))
 
 
-_FIRST16 = f"(select user_id, seq - 1 as i, value from {EV_SQL} where seq <= 16 and n >= 16)"
+# All events of a user in blocks of 16; the last one has what is left.
+_BLOCKS = f"(select user_id, (seq - 1) // 16 as block, (seq - 1) % 16 as i, least(16, n - (seq - 1) // 16 * 16) as n, value from {EV_SQL})"
 
 
-def _first16(spark, d) -> DataFrame:
-    df = events(spark, d).withColumn("seq", F.row_number().over(se.order("user_id", BY))).where("seq <= 16")
-    return df.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("a")).where(F.size("a") == 16).select("user_id", F.transform("a", lambda x: x["value"]).alias("x"))
+def _blocks(spark, d) -> DataFrame:
+    return se.blocks(events(spark, d), "user_id", BY, "value", 16)
 
 
-@query("dsp_tukey", f"select user_id, i::int as i, round(value * case when least(i, 15 - i) < 3.75 then 0.5 * (1 + cos(pi() * (least(i, 15 - i) / 3.75 - 1))) else 1.0 end, 6) as v from {_FIRST16}")
+@query("dsp_tukey", f"select user_id, block, i::int as i, round(value * case when n = 1 then 1.0 when least(i, n - 1 - i) < (n - 1) / 4.0 then 0.5 * (1 + cos(pi() * (least(i, n - 1 - i) / ((n - 1) / 4.0) - 1))) else 1.0 end, 6) as v from {_BLOCKS}")
 def dsp_tukey(spark, d):
-    return se.tapered(_first16(spark, d), "x").select("user_id", F.posexplode("x").alias("i", "v")).select("user_id", "i", F.round("v", 6).alias("v"))
+    return se.tapered(_blocks(spark, d), "x").select("user_id", "block", F.posexplode("x").alias("i", "v")).select("user_id", "block", "i", F.round("v", 6).alias("v"))
 
 
-@query("dsp_rfft16", f"select user_id, k::int as k, round(sum(value * cos(2 * pi() * k * i / 16)), 5) + 0.0 as re, round(-sum(value * sin(2 * pi() * k * i / 16)), 5) + 0.0 as im from {_FIRST16}, range(9) g(k) group by user_id, k")
+@query("dsp_rfft16", f"select user_id, block, k::int as k, round(sum(value * cos(2 * pi() * k * i / n)), 5) + 0.0 as re, round(-sum(value * sin(2 * pi() * k * i / n)), 5) + 0.0 as im from {_BLOCKS}, range(9) g(k) where k <= n // 2 group by user_id, block, k")
 def dsp_rfft16(spark, d):
-    s = se.spectrum(_first16(spark, d), "x").select("user_id", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
-    return s.select("user_id", "k", (F.round("c.re", 5) + 0.0).alias("re"), (F.round("c.im", 5) + 0.0).alias("im"))
+    s = se.spectrum(_blocks(spark, d), "x").select("user_id", "block", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
+    return s.select("user_id", "block", "k", (F.round("c.re", 5) + 0.0).alias("re"), (F.round("c.im", 5) + 0.0).alias("im"))
 
 
 @query("sim_reference_trajectory", "select n, h::int as h, case (n + h) // 250 % 4 when 0 then 1.0 when 1 then 1.0 when 2 then -1.0 else -1.0 end::double as xr, case (n + h) // 250 % 4 when 0 then 1.0 when 1 then -1.0 when 2 then -1.0 else 1.0 end::double as yr from range(1000) g(n), range(8) k(h)")
@@ -586,21 +643,34 @@ def _planted(spark, d):
 
 
 def _coefficients(spark, w) -> DataFrame:
-    return spark.createDataFrame([(i, j, round(float(v), 6)) for i, row in enumerate(w) for j, v in enumerate(row)], "feature int, output int, coef double")
+    return spark.createDataFrame([(i, j, round(float(v), 5) + 0.0) for i, row in enumerate(w) for j, v in enumerate(row)], "feature int, output int, coef double")
 
 
-for _name, _solve in {"reg_ols": rg.ols, "reg_greedy": lambda s: rg.greedy(s, density=0.3), "reg_lasso": lambda s: rg.lasso(s, 1e-3), "reg_sr3": lambda s: rg.sr3(s, 0.1, 5.0, 500)}.items():
+_PLANTED = "select i::int as feature, 0 as output, case i when 0 then 1.5 when 3 then 0.8 when 5 then -2.0 else 0.0 end::double as coef from range(10) g(i)"
+for _name, _solve in {"reg_ols": rg.ols, "reg_greedy": lambda s: rg.greedy(s, density=0.3)}.items():
 
-    @query(_name)
+    @query(_name, _PLANTED)
     def _regression(spark, d, solve=_solve):  # noqa: ANN001
         df, z, y = _planted(spark, d)
         return _coefficients(spark, solve(rg.gram(df, z, [y])))
 
 
-@query("reg_path")
+# These shrink what they find: what SQL can state of them is how far from the planted values they may be.
+for _name, (_solve, _near) in {"reg_lasso": (lambda s: rg.lasso(s, 1e-3), 0.1), "reg_sr3": (lambda s: rg.sr3(s, 0.1, 5.0, 500), 0.05)}.items():
+
+    @query(_name, f"select feature, output, true as near from ({_PLANTED})")
+    def _sparse(spark, d, solve=_solve, near=_near):  # noqa: ANN001
+        df, z, y = _planted(spark, d)
+        true = {0: 1.5, 3: 0.8, 5: -2.0}
+        return spark.createDataFrame([(i, j, bool(abs(v - true.get(i, 0.0)) < near)) for i, row in enumerate(solve(rg.gram(df, z, [y]))) for j, v in enumerate(row)], "feature int, output int, near boolean")
+
+
+@query("reg_path", "select 10 as steps, true as falls, true as fits")
 def reg_path(spark, d):
     df, z, y = _planted(spark, d)
-    return rg.Path(num_steps=10).fit(df, z, [y], "o_orderkey").table(spark).select("step", "lambda", "loss", "r2_score", "density")
+    models = rg.Path(num_steps=10).fit(df, z, [y], "o_orderkey").models
+    loss = [m["loss"] for m in models]
+    return spark.createDataFrame([(len(models), loss == sorted(loss, reverse=True), max(m["r2_score"] for m in models) > 0.99)], "steps int, falls boolean, fits boolean")
 
 
 @query("sid_linear", f"""with p as (select value as a, coalesce(lag(value) {_OVER}, 0) as b, lead(value) {_OVER} as y, seq, n from {EV_SQL}), s as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as by_ from p where seq > 1 and seq < n)
@@ -616,10 +686,13 @@ def ransac_inliers(spark, d):
     return rg.with_inliers(t, ["value_lag0"], ["value_next"], np.array([[0.9]]), 5.0).where("inlier").select("user_id", "event_id")
 
 
-@query("ransac_fit")
+# Ten decaying series with every seventh value spoilt: pairs of good neighbours are inliers.
+@query("ransac_fit", "select round(0.9, 6)::double as a, count(*) as n_inliers from range(10) k(k), range(39) g(i) where i % 7 <> 3 and (i + 1) % 7 <> 3")
 def ransac_fit(spark, d):
-    a, _, rows = rg.ransac(events(spark, d), "user_id", BY, ["value"], [], "event_id", hypotheses=50, tolerance=5.0)
-    return rows.groupBy("inlier").agg(F.count("*").alias("n")).withColumn("a", F.lit(round(float(a[0, 0]), 6)))
+    i = F.floor(F.col("id") / 10)
+    df = spark.range(400).select((F.col("id") % 10).alias("key"), i.alias("seq"), ((100.0 + F.col("id") % 10) * F.pow(F.lit(0.9), i) + F.when(i % 7 == 3, 50.0 + F.col("id") % 13).otherwise(0.0)).alias("x"), F.col("id").alias("row"))
+    a, _, rows = rg.ransac(df, "key", ["seq"], ["x"], [], "row", hypotheses=50, tolerance=1e-6)
+    return rows.agg(F.lit(round(float(a[0, 0]), 6)).alias("a"), F.count_if("inlier").alias("n_inliers"))
 
 
 # Three small trees: (tree, node, depth, feature, threshold, left, right, value).
@@ -637,7 +710,7 @@ def _fixed_nodes() -> list[dict]:
 _FIXED_SQL = f"""with recursive nodes(tree, node, depth, f, th, l, r, v) as (values {", ".join(str(n) for n in _FIXED)}), x as {X_SQL},
     w as (select o_orderkey, x0, x1, x2, tree, 0 as node from x, (select distinct tree from nodes)
         union all select o_orderkey, x0, x1, x2, w.tree, case when (case f when 0 then x0 when 1 then x1 else x2 end) < th then l else r end from w join nodes on nodes.tree = w.tree and nodes.node = w.node where f >= 0)
-    select o_orderkey, round(avg(v), 6) as mean, round(power(2.0, -avg(depth) / {float(tr.expected_depth(256))!r}), 6) as isolation from w join nodes on nodes.tree = w.tree and nodes.node = w.node where f < 0 group by o_orderkey"""
+    select o_orderkey, round(avg(v), 6) as mean, round(power(2.0, -avg(depth) / (2 * (ln(255) + 0.5772156649) - 510.0::double / 256)), 6) as isolation from w join nodes on nodes.tree = w.tree and nodes.node = w.node where f < 0 group by o_orderkey"""
 
 
 @query("tre_score_fixed", _FIXED_SQL)
@@ -646,46 +719,64 @@ def tre_score_fixed(spark, d):
     return rounded(tr.Forest(list(X), _fixed_nodes(), "isolation", 256).score(df, "isolation").select("o_orderkey", "mean", "isolation"))
 
 
+_LINE = "l_orderkey * 8 + l_linenumber"
+
+
 def _lines(spark, d) -> DataFrame:
-    """Line items under a hash of all they hold; equal rows share a number."""
-    df = table(spark, d, "lineitem")
-    return df.select(F.xxhash64(*df.columns).alias("id"), *F4)
+    """Line items under a number of their own, with every 101st moved far off (y = 1), and a target that features make."""
+    df = table(spark, d, "lineitem").withColumn("y", (F.expr(_LINE) % 101 == 0).cast("int"))
+    # line numbers repeat within an order; rows that are equal throughout may take each other's number
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*(c for c in df.columns if c not in ("l_orderkey", "l_linenumber")))
+    df = df.withColumn("id", F.expr(_LINE) * 1024 + F.row_number().over(same))
+    far = [(F.col(c) + F.col("y") * step).alias(c) for c, step in zip(F4, (120.0, 400000.0, 0.5, 0.4), strict=True)]
+    return df.select("id", "y", *far, (F.col("l_quantity") * 3 + F.col("l_discount") * 400 - F.col("l_tax") * 100).alias("t"))
+
+
+_FOUND_SQL = f"select count(*) as n, sum((({_LINE}) % 101 = 0)::int)::bigint as n_anomalies, true as separates from lineitem"
+_FITS_SQL = "select count(*) as n, true as fits from lineitem"
+
 
+def _separates(df: DataFrame) -> DataFrame:
+    """One row: rows scored, anomalies among them, whether the area under the ROC is above 0.9."""
+    return mt.anomaly_evaluation(df, "y", "score", "id").select(F.col("n_samples").alias("n"), "n_anomalies", (F.col("auc_roc") > 0.9).alias("separates"))
 
-@query("tre_iforest_fit_score")
+
+@query("tre_iforest_fit_score", _FOUND_SQL)
 def tre_iforest_fit_score(spark, d):
     df = _lines(spark, d)
-    return tr.isolation_forest(df, F4, "id", 8, 64, 256, 1, standardise=True).score(df).select("id", F.round("score", 6).alias("score"))
+    return _separates(tr.isolation_forest(df, F4, "id", 8, 64, 256, 1, standardise=True).score(df))
 
 
-@query("tre_eif_fit_score")
+@query("tre_eif_fit_score", _FOUND_SQL)
 def tre_eif_fit_score(spark, d):
     df = _lines(spark, d)
-    return tr.isolation_forest(df, F4, "id", 8, 32, 256, 1, oblique=True, standardise=True).score(df).select("id", F.round("score", 6).alias("score"))
+    return _separates(tr.isolation_forest(df, F4, "id", 8, 32, 256, 1, oblique=True, standardise=True).score(df))
+
+
+def _fits(df: DataFrame, least: float) -> DataFrame:
+    """One row: rows predicted, whether R2 is above a bound."""
+    return mt.regression_evaluation(df, "t", "p").select(F.col("n_samples").alias("n"), (F.col("r2") > least).alias("fits"))
 
 
-@query("tre_rf_fit_predict")
+_THREE = ("l_quantity", "l_discount", "l_tax")
+
+
+@query("tre_rf_fit_predict", _FITS_SQL)
 def tre_rf_fit_predict(spark, d):
     df = _lines(spark, d)
-    return tr.random_forest(df, ("l_quantity", "l_discount", "l_tax"), ["l_extendedprice"], "id", 8, 16, 1024).score(df, "y").select("id", F.round("y", 4).alias("y"))
+    return _fits(tr.random_forest(df, _THREE, ["t"], "id", 8, 16, 1024).score(df, "p"), 0.8)
 
 
-@query("tre_boost_fit_predict")
+@query("tre_boost_fit_predict", _FITS_SQL)
 def tre_boost_fit_predict(spark, d):
     df = _lines(spark, d)
-    return tr.boosted_forest(df, ("l_quantity", "l_discount", "l_tax"), ["l_extendedprice"], "id", 5, 24, 1024, 0.2).score(df, "y").select("id", F.round("y", 4).alias("y"))
+    return _fits(tr.boosted_forest(df, _THREE, ["t"], "id", 5, 24, 1024, 0.2).score(df, "p"), 0.7)
 
 
 @query("ftr_series_features")
 def ftr_series_features(spark, d):
-    f = se.features(_first16(spark, d), "x", kernels=32)
-    return f.select("user_id", F.posexplode("features").alias("i", "v")).select("user_id", "i", F.round("v", 6).alias("v"))
-
-
-@query("ctl_adrc")
-def ctl_adrc(spark, d):
-    df = events(spark, d).withColumn("xr", F.lit(50.0)).withColumn("u", F.lit(0.0))
-    return rounded(fl.filtered(df, fl.Adrc(1.0, 0.5, 2.0, 0.1), "user_id", BY, ["xr", "value", "u"]))
+    f = se.features(se.blocks(events(spark, d), "user_id", BY, "value", 64), "x", kernels=32)
+    return f.select("user_id", "block", F.posexplode("features").alias("i", "v")).select("user_id", "block", "i", F.round("v", 6).alias("v"))
 
 
 # Smaller forms ------------------------------------------------------------------------------------------------------
@@ -717,15 +808,6 @@ def agg_detection_mean_of_groups(spark, d):
     return each.agg(*(F.round(F.avg(ratios[n]), 5).alias(n) for n in ("precision", "recall", "iou", "dice")))
 
 
-@query("flt_ema_alarm", _recursive("0.01::double * (abs(value - 50) > 40)::int", "0.99::double * s.y + 0.01::double * (abs(e.value - 50) > 40)::int", "y", "round(y, 8) as alarm"))
-def flt_ema_alarm(spark, d):
-    def step(s, row):
-        return {"y": 0.99 * s["y"] + 0.01 * (F.abs(row["value"] - 50) > 40).cast("double")}
-
-    out = se.recurrence(events(spark, d), "user_id", BY, ["value"], {"y": 0.0}, step, {"alarm": lambda new, row: new["y"]})
-    return out.select("user_id", "event_id", F.round("alarm", 8).alias("alarm"))
-
-
 @query("jon_class_lookup", "select event_id, case event_type when 'click' then 0 when 'error' then 1 when 'view' then 2 else -1 end as class from events")
 def jon_class_lookup(spark, d):
     ids = F.create_map(*(F.lit(v) for pair in {"click": 0, "error": 1, "view": 2}.items() for v in pair))
