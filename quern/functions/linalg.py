@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -56,10 +58,15 @@ def poles(a: np.ndarray, b: np.ndarray | None = None, k: np.ndarray | None = Non
     return np.linalg.eigvals(a if k is None else a - b @ k)
 
 
+def time_constants(a: np.ndarray) -> tuple[float, float]:
+    """Smallest and largest time constant, 1 / |real part| of the poles; poles with a real part of 0 have none."""
+    real = np.abs(np.linalg.eigvals(np.asarray(a, float)).real)
+    tau = 1 / real[real > 1e-10]
+    return (float(tau.min()), float(tau.max())) if len(tau) else (math.inf, 0.0)
+
+
 def chi2_quantile(p: float, freedom: int) -> float:
     """By bisection on the regularised incomplete gamma function."""
-    import math
-
     def cdf(x: float) -> float:
         s, z = freedom / 2, x / 2
         if z <= 0:

@@ -379,6 +379,25 @@ class KoopmanLqr(Kernel):
         return z, [-sum(g * v for g, v in zip(self.gain, z, strict=True))]
 
 
+class ClosedLoop(Kernel):
+    """A discrete plant x' = A x + B u under a controller that sees reference and state; rows are references. Outputs: the state before the step, the input."""
+
+    def __init__(self, a, b, controller: Kernel, start: Sequence[float] = ()) -> None:
+        self.a, self.b, self.controller = np.asarray(a, float), np.asarray(b, float), controller
+        self.first = list(start) or [0.0] * len(self.a)
+        self.inputs = tuple(f"xr{i}" for i in range(len(self.a)))
+        self.outputs = (*(f"x{i}" for i in range(len(self.a))), *(f"u{i}" for i in range(self.b.shape[1])))
+
+    def start(self):
+        return [*self.first, *self.controller.start()]
+
+    def step(self, state, row):
+        n = len(self.a)
+        x = state[:n]
+        inner, u = self.controller.step(state[n:], [*row, *x])
+        return [*flat(self.a @ column(x) + self.b @ column(u)), *inner], [*x, *u]
+
+
 def _runs(batch: pa.RecordBatch, width: int):
     """(key, first, end) of each run of equal keys in a batch, and its inputs as rows."""
     keys = batch.column(0).to_pylist()

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,3 +242,65 @@ def variance_hinge(df: DataFrame, vector: str, upper: float = 1.0) -> DataFrame:
     """One row: mean over dimensions of max(0, upper - standard deviation)."""
     one = df.select(F.posexplode(vector).alias("d", "v")).groupBy("d").agg(F.stddev_samp("v").alias("s"))
     return one.agg(F.round(F.avg(F.greatest(F.lit(0.0), upper - F.col("s"))), PLACES).alias("std_hinge"), F.count("*").alias("n_dims"))
+
+
+def inside(u: Column, v: Column, width: float, height: float, boundary: float = 1.0) -> Column:
+    """Whether a mapped key point lies within the image, more than ``boundary`` from its edges."""
+    return (u > boundary) & (u < width - boundary) & (v > boundary) & (v < height - boundary)
+
+
+def heatmap_evaluation(df: DataFrame, truth: str, predicted: str, row_id: str, threshold: float = 0.5, epsilon: float = 1e-7) -> DataFrame:
+    """One row (precision, recall, f1, average_precision) of points (0 or 1) against a heat map; here the threshold itself counts as found."""
+    t, hit = F.col(truth).cast("double"), F.coalesce(F.col(predicted) >= threshold, F.lit(False)).cast("double")
+    n = df.agg(F.sum(t * hit).alias("tp"), F.sum((1 - t) * hit).alias("fp"), F.sum(t * (1 - hit)).alias("fn"))
+    tp = F.coalesce("tp", F.lit(0.0))
+    both = n.select((tp / (tp + F.coalesce("fp", F.lit(0.0)) + epsilon)).alias("p"), (tp / (tp + F.coalesce("fn", F.lit(0.0)) + epsilon)).alias("r"))
+    ratios = both.select(*rounded({"precision": F.col("p"), "recall": F.col("r"), "f1": 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + epsilon)}))
+    return ratios.join(F.broadcast(average_precision(df, truth, predicted, row_id)))  # one row each
+
+
+def control_costs(df: DataFrame, by: str, control: Column, error: Column) -> DataFrame:
+    """(by, control_cost, tracking_cost, reduction): sums of squares, and by how many per cent the tracking cost is below the largest one."""
+    own = df.groupBy(by).agg(F.sum(control * control).alias("c"), F.sum(error * error).alias("t"))
+    most = own.agg(F.max("t").alias("most"))
+    out = own.join(F.broadcast(most))  # one row
+    return out.select(by, *rounded({"control_cost": F.col("c"), "tracking_cost": F.col("t"), "reduction": ratio(100 * (F.col("most") - F.col("t")), F.col("most"))}))
+
+
+def r2_by_output(df: DataFrame, outputs: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """(output, r2): one row for each pair of truth and prediction, in one pass; 0 where the truth is constant."""
+    sums = df.agg(*(c for i, (t, p) in enumerate(outputs) for c in (F.sum((t - p) * (t - p)).alias(f"e{i}"), (F.count(t) * F.var_pop(t)).alias(f"v{i}"))))
+    each = F.array(*(F.struct(F.lit(i).alias("output"), F.round(F.when(F.col(f"v{i}") > 0, 1 - F.col(f"e{i}") / F.col(f"v{i}")).otherwise(0.0), PLACES).alias("r2")) for i in range(len(outputs))))
+    return sums.select(F.explode(each).alias("r")).select("r.output", "r.r2")
+
+
+def characteristic_loss(df: DataFrame, vector: str, directions: np.ndarray, t_range: float = 5.0, points: int = 17) -> DataFrame:
+    """One row (loss): how far the vectors' projections on unit ``directions`` (columns) are from a standard normal distribution.
+
+    The squared distance of the empirical characteristic function from exp(-t^2 / 2) at ``points`` even t, weighed by the same
+    curve, integrated by trapezoids, averaged over the directions and multiplied by the number of vectors. A task sends
+    the sums of its cosines and sines, whose number does not depend on the rows.
+    """
+    directions = np.asarray(directions, float)
+    directions = directions / np.linalg.norm(directions, axis=0)
+    t = np.linspace(-t_range, t_range, points)
+    cells = directions.shape[1] * points
+
+    def run(batches):
+        total = np.zeros(2 * cells + 1)
+        for batch in batches:
+            values = batch.column(0).drop_null()
+            for at in range(0, len(values), 256):
+                z = np.array(values.slice(at, 256).to_pylist(), float)
+                x = (z @ directions)[:, :, None] * t
+                total += np.concatenate((np.cos(x).sum(0).reshape(-1), np.sin(x).sum(0).reshape(-1), [len(z)]))
+        yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "v": total})
+
+    sums = df.select(vector).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    found = np.zeros(2 * cells + 1)
+    for r in sums:
+        found[r["i"]] = r["v"]
+    n, aim = found[-1], np.exp(-0.5 * t * t)
+    real, imaginary = ((found[k * cells : (k + 1) * cells] / max(n, 1)).reshape(-1, points) for k in (0, 1))
+    loss = float(n) * float(np.trapezoid(((real - aim) ** 2 + imaginary**2) * aim, t, axis=1).mean())
+    return df.sparkSession.createDataFrame([(round(loss, PLACES),)], "loss double")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionary as dc
+from ..functions import linalg as la
 from ..operators import filters as fl
 from ..operators import metrics as mt
 from ..operators import regression as rg
@@ -851,3 +852,62 @@ def emb_mean_squared_difference(spark, d):
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     total = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     return pairs.agg(F.round(F.sum(total) / F.sum(F.size("x")), 8).alias("mse"))
+
+
+# Key points, costs, outputs, closed loops ----------------------------------------------------------------------------
+
+_WARP = "(x0 * 0.8 - x1 * 0.6 + 2.0) / (x0 * 0.01 + x1 * 0.02 + 1.0)", "(x0 * 0.6 + x1 * 0.8 + 1.0) / (x0 * 0.01 + x1 * 0.02 + 1.0)"
+
+
+@query("fil_keypoints_inside", f"select o_orderkey, round(u, 6) as u, round(v, 6) as v from (select o_orderkey, {_WARP[0]} as u, {_WARP[1]} as v from {X_SQL}) where u > 1 and u < 5 and v > 1 and v < 4")
+def fil_keypoints_inside(spark, d):
+    u, v = dc.warped(F.col("x0"), F.col("x1"), [[0.8, -0.6, 2.0], [0.6, 0.8, 1.0], [0.01, 0.02, 1.0]])
+    mapped = points(spark, d).select("o_orderkey", u.alias("u"), v.alias("v"))
+    return rounded(mapped.where(mt.inside(F.col("u"), F.col("v"), 6.0, 5.0)))
+
+
+@query("agg_heatmap_eval", f"""select round(p, 5) as precision, round(r, 5) as recall, round(2 * p * r / (p + r + 1e-7), 5) as f1, (select round(sum(best) / (select sum(y) from {SCORED_SQL}), 5) from (select y, max(tp::double / k) over (order by k rows between current row and unbounded following) as best from (select y, row_number() over w as k, sum(y) over w as tp from {SCORED_SQL} window w as (order by s desc, id rows unbounded preceding)) where y = 1)) as average_precision
+    from (select tp / (tp + fp + 1e-7) as p, tp / (tp + fn + 1e-7) as r from (select sum((y = 1 and s >= 0.5)::int)::double as tp, sum((y = 0 and s >= 0.5)::int)::double as fp, sum((y = 1 and s < 0.5)::int)::double as fn from {SCORED_SQL}))""")
+def agg_heatmap_eval(spark, d):
+    return mt.heatmap_evaluation(scored(spark, d), "y", "s", "id")
+
+
+@query("agg_cost_reduction", "select event_type, round(c, 5) as control_cost, round(t, 5) as tracking_cost, round(100 * (max(t) over () - t) / max(t) over (), 5) as reduction from (select event_type, sum(value * value / 1e4) as c, sum((value - 50) * (value - 50) / 1e4) as t from events group by event_type)")
+def agg_cost_reduction(spark, d):
+    return mt.control_costs(table(spark, d, "events"), "event_type", F.col("value") / 100, (F.col("value") - 50) / 100)
+
+
+@query("agg_r2_by_output", f"select 0 as output, round(1 - sum((x0 - 0.9 * x0 - 0.1) ** 2) / (count(*) * var_pop(x0)), 5) as r2 from {X_SQL} union all select 1, round(1 - sum((x1 - x2) ** 2) / (count(*) * var_pop(x1)), 5) from {X_SQL}")
+def agg_r2_by_output(spark, d):
+    x0, x1, x2 = (F.col(c) for c in X)
+    return mt.r2_by_output(points(spark, d), [(x0, 0.9 * x0 + 0.1), (x1, x2)])
+
+
+_T = "(select (i - 8) * 0.625::double as t, exp(-0.5 * ((i - 8) * 0.625::double) ** 2) as g, case when i in (0, 16) then 0.5 else 1.0 end * 0.625::double as w from range(17) p(i))"
+
+
+@query("emb_characteristic_loss", f"""select round((select count(*) from embeddings) * avg(total), 5) as loss from (select k, sum(((c - g) ** 2 + s ** 2) * g * w) as total from
+    (select k, t, g, w, avg(cos(t * x)) as c, avg(sin(t * x)) as s from (select k, embedding[k]::double as x from embeddings, range(1, 9) d(k)), {_T} group by all) group by k)""")
+def emb_characteristic_loss(spark, d):
+    return mt.characteristic_loss(table(spark, d, "embeddings"), "embedding", np.eye(64)[:, :8])
+
+
+@query("sim_time_constants", "select round(0.5, 6)::double as tau_min, round(1.0, 6)::double as tau_max")
+def sim_time_constants(spark, d):
+    low, high = la.time_constants(np.array([[0.0, 1.0], [-2.0, -3.0]]))  # poles -1 and -2
+    return spark.createDataFrame([(round(low, 6), round(high, 6))], "tau_min double, tau_max double")
+
+
+@query("sim_closed_loop", """with recursive s(key, seq, x, u, total, e) as (select k, 0::bigint, 0.0::double, (k + 1) * 1.31::double, (k + 1)::double, (k + 1)::double from range(4) t(k)
+    union all select key, seq + 1, x1, 0.8::double * e1 + 0.01::double * (total + e1) + 0.5::double * (e1 - e), total + e1, e1 from (select *, key + 1 - x1 as e1 from (select *, 0.9::double * x + 0.5::double * u as x1 from s)) where seq < 199)
+    select key, seq, round(x, 6) as x0, round(u, 6) as u0 from s""")
+def sim_closed_loop(spark, d):
+    loop = fl.ClosedLoop([[0.9]], [[0.5]], fl.PidTextbook(0.8, 0.01, 0.5))
+    steps = spark.range(800).select(F.floor(F.col("id") / 200).alias("key"), (F.col("id") % 200).alias("seq"), (F.floor(F.col("id") / 200) + 1).alias("xr"))
+    return rounded(fl.filtered(steps, loop, "key", ["seq"], ["xr"]))
+
+
+@query("tre_projected_iforest", _FOUND_SQL)
+def tre_projected_iforest(spark, d):
+    df = _lines(spark, d)
+    return _separates(tr.isolation_forest(df, F4, "id", 8, 32, 256, 1, standardise=True, projection_dim=3).score(df))

@@ -97,3 +97,8 @@ def lorenz(sigma: float = 10.0, rho: float = 28.0, beta: float = 8 / 3) -> Calla
 
 def linear(a: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: np.asarray(a) @ x
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Add the rows of ``df`` to a log of JSON lines, one object a row; earlier rows stay."""
+    df.write.mode("append").json(path)
