@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import below
+
 SHINGLE = 5
 LOG_BINS = 7
 BINS = 1 << LOG_BINS
 BITS = 8
-#: Rows to a range of ids, and the most ranges, when documents are put beside their successors.
-RANGE_ROWS, MOST_RANGES = 500, 4096
+#: Rows to a range of ids, and the most ranges, when documents are put beside their successors; ids drawn for each range to cut by.
+RANGE_ROWS, MOST_RANGES, DRAWN = 500, 1 << 16, 64
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -69,18 +71,19 @@ def likeness(a: Column, b: Column) -> Column:
 def beside_next(df: DataFrame, id_col: str, carried: list[str], tie: str) -> DataFrame:
     """Add ``next``: a struct of the ``carried`` columns of the row with the next larger id (of the smallest after the largest).
 
-    Ids are cut into ranges at approximate quantiles and each range is a window partition of its own. The first rows of a range are
-    sent to the range before it as well, so the last row of a range finds its successor there. Rows with equal ids come in the order
-    of ``tie``, rows without id first. Only ids' quantiles and one id for each range pass through the driver.
+    Ids are cut into ranges, each a window partition of its own that may spill; where the cuts lie changes how work is dealt, not
+    the result, so they come from ids drawn by hash. The first rows of a range are sent to the range before it as well, so the last
+    row of a range finds its successor there. Rows with equal ids come in the order of ``tie``, rows without id first.
+    Only the cuts and one id for each range pass through the driver.
     """
     at = F.coalesce(F.col(id_col), F.lit(-(1 << 63)).cast("long"))
     rows = df.count()
     if not rows:
         return df.withColumn("next", F.struct(*carried))
     ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
-    cuts = df.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] if ranges > 1 else []
-    cuts = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    own = F.size(F.filter(cuts, lambda c: c < at))
+    drawn = df.where(F.pmod(F.xxhash64(at), F.lit(1 << 20)) <= int(min(1.0, DRAWN * ranges / rows) * (1 << 20)))
+    cuts = (drawn.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []) if ranges > 1 else []
+    own = below(at, sorted(set(cuts)))
     first = {r["r"]: r["f"] for r in df.groupBy(own.alias("r")).agg(F.min(at).alias("f")).collect()}
     there = sorted(first)
     before = dict(zip(there, [there[-1], *there[:-1]], strict=True))
