@@ -111,13 +111,13 @@ def anomaly_evaluation(df: DataFrame, truth: str, score: str, row_id: str, thres
     t, s = above(F.col(truth), threshold), F.col(score)
     base = df.agg(
         *detection_counts(F.col(truth), s, threshold), F.count("*").alias("n_samples"),
-        F.avg(s).alias("score_mean"), F.stddev_samp(s).alias("score_std"), F.avg(F.when(t, s)).alias("score_anomaly"), F.avg(F.when(~t, s)).alias("score_normal"),
+        F.avg(s).alias("score_mean"), F.stddev_samp(s).alias("score_std"), F.avg(F.when(t, s)).alias("score_mean_anomaly"), F.avg(F.when(~t, s)).alias("score_mean_normal"),
     )
     n, tp, tn, fp, fn = (F.col(c).cast("double") for c in ("n_samples", "tp", "tn", "fp", "fn"))
     more = {
         "anomaly_ratio": ratio(tp + fn, n), "fpr": ratio(fp, fp + tn), "fnr": ratio(fn, fn + tp),
-        "score_mean": F.col("score_mean"), "score_std": F.coalesce("score_std", F.lit(0.0)), "score_anomaly": F.coalesce("score_anomaly", F.lit(0.0)), "score_normal": F.coalesce("score_normal", F.lit(0.0)),
-        "score_separation": F.coalesce("score_anomaly", F.lit(0.0)) - F.coalesce("score_normal", F.lit(0.0)),
+        "score_mean": F.col("score_mean"), "score_std": F.coalesce("score_std", F.lit(0.0)), "score_mean_anomaly": F.coalesce("score_mean_anomaly", F.lit(0.0)), "score_mean_normal": F.coalesce("score_mean_normal", F.lit(0.0)),
+        "score_separation": F.coalesce("score_mean_anomaly", F.lit(0.0)) - F.coalesce("score_mean_normal", F.lit(0.0)),
     }
     own = base.select("tp", "tn", "fp", "fn", "n_samples", (F.col("tp") + F.col("fn")).alias("n_anomalies"), (F.col("tn") + F.col("fp")).alias("n_normal"), *rounded(detection_ratios() | more))
     return own.join(F.broadcast(curve_areas(df, truth, score, row_id)))  # one row each

@@ -191,7 +191,7 @@ def win_auc_roc_pr(spark, d):
 
 
 @query("agg_anomaly_eval", f"""select c.*, tp + fn as n_anomalies, tn + fp as n_normal, {_RATIO_SQL}, round((tp + fn)::double / n_samples, 5) as anomaly_ratio, round({_div('fp', 'fp + tn')}, 5) as fpr, round({_div('fn', 'fn + tp')}, 5) as fnr,
-    round(m, 5) as score_mean, round(sd, 5) as score_std, round(ma, 5) as score_anomaly, round(mn, 5) as score_normal, round(ma - mn, 5) as score_separation, round(a / (p::double * n), 5) as auc_roc, round(b / p, 5) as auc_pr
+    round(m, 5) as score_mean, round(sd, 5) as score_std, round(ma, 5) as score_mean_anomaly, round(mn, 5) as score_mean_normal, round(ma - mn, 5) as score_separation, round(a / (p::double * n), 5) as auc_roc, round(b / p, 5) as auc_pr
     from (select {_COUNTS} from {SCORED_SQL}) c, (select avg(s) as m, stddev_samp(s) as sd, avg(case when y > 0.5 then s end) as ma, avg(case when y <= 0.5 then s end) as mn from {SCORED_SQL}), {_AUC_SQL}""")
 def agg_anomaly_eval(spark, d):
     return mt.anomaly_evaluation(scored(spark, d), "y", "s", "id")
